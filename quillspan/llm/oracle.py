@@ -13,6 +13,20 @@ n as (select crawl_doc, count(*) as n from s group by crawl_doc),
 b as (select x.crawl_doc as a, y.crawl_doc as b, count(*) as both_n from s x join s y on x.g = y.g and x.crawl_doc < y.crawl_doc group by 1, 2)
 select b.a as crawl_doc_a, b.b as crawl_doc_b from b join n na on na.crawl_doc = b.a join n nb on nb.crawl_doc = b.b
 where b.both_n >= 0.7 * (na.n + nb.n - b.both_n)""",
+    "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
+    "p8_found": f"""
+with d as (select doc_id, {WORDS.format('text')} as w from documents where text is not null),
+i as (select item_id, {WORDS.format('passage')} as w from eval_items where passage is not null),
+dg as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as g from d where len(w) >= 13),
+ig as (select distinct item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as g from i where len(w) >= 13)
+select distinct doc_id, item_id from dg join ig using (g)""",
+    "p9_found": """
+with w as (select doc_id, unnest(range(0, length(text) - 199)) as s, text from documents where length(text) >= 200),
+g as (select doc_id, s, md5(substr(text, s + 1, 200)) as h from w),
+c as (select h from g group by h having min(doc_id) < max(doc_id)),
+m as (select doc_id, s, lag(s) over (partition by doc_id order by s) as p from g where h in (select h from c)),
+r as (select doc_id, s, sum(case when p is null or s > p + 200 then 1 else 0 end) over (partition by doc_id order by s) as run from m)
+select doc_id, min(s) as span_start, max(s) + 200 as span_end from r group by doc_id, run""",
 }
 
 

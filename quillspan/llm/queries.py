@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import near_duplicates
+from . import leakage, near_duplicates, shared_spans, tokenizer
 
 CRAWL = near_duplicates.Settings(shingle=3, similarity=0.7, min_words=80)
 
@@ -23,5 +23,42 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.classes().withColumnRenamed("id", "crawl_doc")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text after encoding and decoding; null texts come back empty."""
+    ids = tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return tokenizer.decode(ids, "id", "ids").withColumnRenamed("id", "doc_id")
+
+
+def p7_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per token: id, and the characters of the text it covers, wholly or in part."""
+    ids = tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text", offsets=True)
+    flat = ids.select(F.col("id").alias("doc_id"), F.posexplode(F.arrays_zip("ids", "starts", "ends")).alias("token_no", "t"))
+    return flat.select("doc_id", F.col("token_no").cast("bigint").alias("token_no"), F.col("t.ids").alias("token_id"), F.col("t.starts").alias("char_start"), F.col("t.ends").alias("char_end"))
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_portion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document is shared elsewhere."""
+    docs = table(spark, sf_dir, "documents")
+    covered = p9_found(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"))
+    sized = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).cast("bigint").alias("chars"))
+    return sized.join(covered, "doc_id", "left").select("doc_id", "chars", F.coalesce("spans", F.lit(0)).alias("spans"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}

@@ -4,7 +4,56 @@ from __future__ import annotations
 
 WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
+HOST = "regexp_replace(lower({0}), '^www\\.', '')"
+
+RANKED = f"""
+hs as (select {HOST.format('host')} as h, max(trust) as trust from host_scores group by 1),
+raw as (select query_id, crawl_doc, min(case when not isnan(text_relevance) then text_relevance end) as text_relevance, min(case when not isnan(proximity) then proximity end) as proximity,
+  min(case when not isnan(quality.factor) then quality.factor end) as quality, min(case when not isnan(trust) then trust end) as trust
+  from hits left join hs on hs.h = {HOST.format('host')} group by 1, 2),
+g as (select *, count(*) over (partition by query_id) as n,
+  case when text_relevance is not null then rank() over (partition by query_id order by text_relevance desc nulls last) - 1 end as g1,
+  case when proximity is not null then rank() over (partition by query_id order by proximity desc nulls last) - 1 end as g2,
+  case when quality is not null then rank() over (partition by query_id order by quality desc nulls last) - 1 end as g3,
+  case when trust is not null then rank() over (partition by query_id order by trust desc nulls last) - 1 end as g4 from raw)"""
+
+LINES = f"""
+one as (select crawl_doc, {HOST.format('any_value(host)')} as host, any_value(text) as text from records where text is not null group by crawl_doc),
+e as (select crawl_doc, host, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no from one),
+l as (select crawl_doc, host, line_no, trim(regexp_replace(lower(line), '[^\\p{{L}}]+', ' ', 'g')) as w from e),
+k as (select * from l where length(replace(w, ' ', '')) >= 8),
+n as (select host, count(*) as n from one where not regexp_matches(text, '^[\\s\\p{{Z}}]*$') group by host),
+c as (select host, w, count(distinct crawl_doc) as c from k group by 1, 2),
+hot as (select c.host, c.w from c join n on c.host is not distinct from n.host where c.c >= 5 and c.c * 5 >= n.n)"""
+
 SQL = {
+    "p3_found": f"with {RANKED} select query_id, crawl_doc from g where 10 * g1 < n and 10 * g2 < n and 10 * g3 < n and 10 * g4 < n",
+    "p3_ranking": f"""
+with {RANKED},
+r as (select *, coalesce(g1, count(text_relevance) over q) + 1 as r1, coalesce(g2, count(proximity) over q) + 1 as r2, coalesce(g3, count(quality) over q) + 1 as r3, coalesce(g4, count(trust) over q) + 1 as r4 from g window q as (partition by query_id)),
+wt as (select max(proximity) as w2, max(quality) as w3, max(authority) as w4 from rank_weights where weight_set = 'standard'),
+u as (select query_id, crawl_doc, unnest([{{'r': r1, 'w': 1.0}}, {{'r': r2, 'w': w2}}, {{'r': r3, 'w': w3}}, {{'r': r4, 'w': w4}}], recursive := true), (r1 + r2 * w2 + r3 * w3 + r4 * w4) / (1.0 + w2 + w3 + w4) as mean_rank from r, wt),
+m as (select query_id, crawl_doc, mean_rank, r, sum(w) over (partition by query_id, crawl_doc order by r) as run, sum(w) over (partition by query_id, crawl_doc) as total from u),
+f as (select query_id, crawl_doc, round(any_value(mean_rank), 6) as mean_rank, min(case when run >= total / 2 then r end)::double as median_rank from m group by 1, 2)
+select query_id, crawl_doc, row_number() over (partition by query_id order by median_rank, mean_rank, crawl_doc) as position, median_rank, mean_rank from f""",
+    "p5_found": f"with {LINES} select distinct k.crawl_doc, k.line_no from k join hot on k.host is not distinct from hot.host and k.w = hot.w",
+    "p5_clean": f"""
+with {LINES},
+gone as (select k.crawl_doc, k.line_no from k join hot on k.host is not distinct from hot.host and k.w = hot.w),
+left_ as (select crawl_doc, string_agg(line, chr(10) order by line_no) as text from e anti join gone using (crawl_doc, line_no) group by 1)
+select o.crawl_doc, case when one.text is null then null else coalesce(left_.text, '') end as text from (select distinct crawl_doc from records) o left join one using (crawl_doc) left join left_ using (crawl_doc)""",
+    "p6_found": """
+with t as (select crawl_doc, lower(trim(nfc_normalize(term))) as term from tokens),
+n as (select count(distinct crawl_doc) as n from t where crawl_doc is not null),
+f as (select term, count(distinct crawl_doc) as records from t where term is not null and term <> '' and octet_length(encode(term)) <= 40 and not regexp_matches(term, '^[0-9]{13,}$') group by term)
+select term, case when records <= 2 then 'rare' else 'common' end as mark from f, n where records <= 2 or records > 0.3 * n""",
+    "p6_terms": """
+with one as (select crawl_doc, field, token_position, min(term) as term from tokens group by 1, 2, 3),
+t as (select crawl_doc, lower(trim(nfc_normalize(term))) as term from one),
+n as (select count(distinct crawl_doc) as n from t where crawl_doc is not null),
+f as (select term, count(*) as occurrences, count(distinct crawl_doc) as records from t where term is not null and term <> '' and octet_length(encode(term)) <= 40 and not regexp_matches(term, '^[0-9]{13,}$') group by term),
+r as (select term, max(doc_frequency) as reported from term_scores where term is not null group by 1)
+select f.term, occurrences::bigint as occurrences, records, case when records <= 2 then 'rare' when records > 0.3 * n then 'common' end as mark, reported from n, f left join r using (term)""",
     "p1_found": f"""
 with one as (select crawl_doc, any_value(text) as text from records where text is not null group by crawl_doc),
 w as (select crawl_doc, {WORDS.format('text')} as w from one),

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hosts import plain_host
 from ..session import table
-from . import leakage, near_duplicates, shared_spans, tokenizer
+from . import leakage, near_duplicates, rank_aggregation, repeated_lines, shared_spans, term_bitmaps, tokenizer
 
 CRAWL = near_duplicates.Settings(shingle=3, similarity=0.7, min_words=80)
 
@@ -23,6 +24,60 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.classes().withColumnRenamed("id", "crawl_doc")
 
 
+SCORES = ["text_relevance", "proximity", "quality", "trust"]
+
+
+def _score_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = table(spark, sf_dir, "host_scores").groupBy(plain_host(F.col("host")).alias("h")).agg(F.max("trust").alias("trust"))
+    hits = table(spark, sf_dir, "hits").select("query_id", "crawl_doc", "text_relevance", "proximity", F.col("quality.factor").alias("quality"), plain_host(F.col("host")).alias("h"))
+    return rank_aggregation.score_ranks(hits.join(hosts, "h", "left"), "query_id", "crawl_doc", SCORES)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = _score_ranks(spark, sf_dir)
+    for s in SCORES:
+        ranks = ranks.where(F.col(f"greater_{s}") * 10 < F.col("n"))
+    return ranks.select("query_id", "crawl_doc")
+
+
+def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit's place in its query, by the weights of the set 'standard'; text relevance weighs 1."""
+    row = table(spark, sf_dir, "rank_weights").where("weight_set = 'standard'").agg(F.max("proximity"), F.max("quality"), F.max("authority")).first()
+    weights = {s: F.lit(float(w) if w is not None else 0.0) for s, w in zip(SCORES, (1.0, *row))}
+    ranked = rank_aggregation.aggregate_ranks(_score_ranks(spark, sf_dir), "query_id", "crawl_doc", SCORES, weights)
+    return ranked.select("query_id", "crawl_doc", "position", "median_rank", "mean_rank")
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.repeated_lines(table(spark, sf_dir, "records"), "crawl_doc", plain_host(F.col("host")), "text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated(spark, sf_dir).withColumnRenamed("id", "crawl_doc")
+
+
+def p5_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tested wordings of each host with their log-likelihood ratio and significance."""
+    tests = repeated_lines.tested_lines(table(spark, sf_dir, "records"), "crawl_doc", plain_host(F.col("host")), "text")
+    return tests.withColumnRenamed("source", "host")
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without the repeated lines."""
+    return repeated_lines.without_lines(table(spark, sf_dir, "records"), "crawl_doc", "text", _repeated(spark, sf_dir)).withColumnRenamed("id", "crawl_doc")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_bitmaps.frequencies(table(spark, sf_dir, "tokens"), "crawl_doc", "term").where("mark is not null").select("term", "mark")
+
+
+def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and records of every term, beside what the index reported for it at most."""
+    tokens = term_bitmaps.distinct_tokens(table(spark, sf_dir, "tokens"), ["crawl_doc", "field", "token_position"], "term")
+    reported = table(spark, sf_dir, "term_scores").where("term is not null").groupBy("term").agg(F.max("doc_frequency").alias("reported"))
+    return term_bitmaps.frequencies(tokens, "crawl_doc", "term").join(reported, "term", "left")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hosts import plain_host
 from ..session import table
-from . import leakage, near_duplicates, rank_aggregation, repeated_lines, shared_spans, term_bitmaps, tokenizer
+from . import leakage, near_duplicates, rank_aggregation, repeated_lines, residue, shared_spans, spam, term_bitmaps, tokenizer
 
 CRAWL = near_duplicates.Settings(shingle=3, similarity=0.7, min_words=80)
 
@@ -52,6 +52,14 @@ def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, sf_dir, "records"), "crawl_doc", plain_host(F.col("host")), "text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_pages(table(spark, sf_dir, "records"), "crawl_doc", plain_host(F.col("host")), "text").withColumnRenamed("id", "crawl_doc")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "records"), "crawl_doc", plain_host(F.col("host")), "text").withColumnRenamed("id", "crawl_doc")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repeated(spark, sf_dir).withColumnRenamed("id", "crawl_doc")
 

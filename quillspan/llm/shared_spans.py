@@ -20,7 +20,7 @@ A block of many distinct contexts (a hot anchor) is not gathered into one task:
 windows are exploded and counted by hash instead, with partial sums.
 
 Defined results: null and short texts give no rows; rows that repeat an id count as
-one record (of their first text); null ids are left out; extra columns are ignored.
+one record; null ids are left out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,29 +75,39 @@ def _index(length: int, gram: int, combined: bool):
     return run
 
 
-def _windows(length: int, gram: int):
-    """Contexts of the representatives: the hashes of all windows around each anchor, in one binary."""
+def _contexts(length: int, gram: int):
+    """The characters of the wanted contexts. A context is cut out only where its hash agrees, so of
+    several texts under one id the right one is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, wanted = batch.column(0), batch.column(1), batch.column(2)
+            texts, wanted = batch.column(0), batch.column(1)
             for a, z in cp.slices(texts):
                 cps, off = cp.code_points(texts.slice(a, z - a))
                 pre = cp.prefix(cp.exact_symbols(cps))
-                grams = cp.gram_hash(pre, length)
-                out: tuple[list, ...] = ([], [], [])
-                for i, places in enumerate(wanted.slice(a, z - a).to_pylist()):
-                    for p in places:
-                        at = off[i] + p["pos"]
-                        first, last = at - p["before"], at + p["after"] - length
-                        out[0].append(p["fp"])
-                        out[1].append(p["ctx"])
-                        out[2].append(grams[first : last + 1].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["fp", "ctx", "windows"])
+                rows = wanted.slice(a, z - a).to_pylist()
+                flat = [(off[i], off[i + 1], p) for i, places in enumerate(rows) for p in places]
+                first = np.array([o + p["pos"] - p["before"] for o, _, p in flat], np.int64)
+                last = np.array([o + p["pos"] + p["after"] for o, _, p in flat], np.int64)
+                inside = last <= np.array([e for _, e, _ in flat], np.int64)
+                marks = np.array([p["before"] * 4096 + p["after"] for _, _, p in flat], U)
+                same = np.zeros(len(flat), bool)
+                same[inside] = (cp.span_hash(pre, first[inside], last[inside]) ^ cp.mix(marks[inside])).view(np.int64) == np.array([p["ctx"] for _, _, p in flat], np.int64)[inside]
+                kept = np.flatnonzero(same)
+                col = lambda k: pa.array([flat[i][2][k] for i in kept], pa.int64())
+                cut = [cps[first[i] : last[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in kept]
+                yield pa.RecordBatch.from_arrays([col("fp"), col("ctx"), col("low"), col("high"), pa.array(cut, pa.string())], names=["fp", "ctx", "low", "high", "chars"])
 
     return run
 
 
+def windows_of(chars: list[str], length: int) -> list[np.ndarray]:
+    """Hashes of all windows of each context."""
+    cps, off = cp.code_points(pa.array(chars, pa.string()))
+    grams = cp.gram_hash(cp.prefix(cp.exact_symbols(cps)), length)
+    return [grams[a : z - length + 1] for a, z in zip(off[:-1], off[1:])]
+
+
 def runs(flags: np.ndarray) -> np.ndarray:
     """Starts and ends of the runs of true values, one row each."""
     edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
@@ -119,35 +129,41 @@ def factor_block(windows: list[np.ndarray], low: np.ndarray, high: np.ndarray) -
     return [runs(f) for f in np.split(flags, np.cumsum(sizes)[:-1])]
 
 
-def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (fp, ctx, low, high, windows) sorted by fp -> (fp, ctx, first, last) runs of shared windows."""
+def _factors(length: int):
+    """Rows (fp, ctx, low, high, chars) sorted by fp -> (fp, ctx, first, last) runs of shared windows."""
 
     def done(block: list[tuple]) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [])
-        found = factor_block([np.frombuffer(r[4], U) for r in block], np.array([r[2] for r in block]), np.array([r[3] for r in block]))
+        found = factor_block(windows_of([r[4] for r in block], length), np.array([r[2] for r in block]), np.array([r[3] for r in block]))
         for r, part in zip(block, found):
             for s, e in part:
                 for o, v in zip(out, (r[0], r[1], int(s), int(e))):
                     o.append(v)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["fp", "ctx", "first", "last"])
 
-    block: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if block and block[0][0] != row[0]:
-                yield done(block)
-                block = []
-            block.append(row)
-    if block:
-        yield done(block)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if block and block[0][0] != row[0]:
+                    yield done(block)
+                    block = []
+                block.append(row)
+        if block:
+            yield done(block)
+
+    return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for fp, ctx, low, high, windows in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            w = np.frombuffer(windows, np.int64)
-            n = len(w)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, fp)), pa.array(np.full(n, ctx)), pa.array(np.full(n, low)), pa.array(np.full(n, high)), pa.array(w), pa.array(np.arange(n, dtype=np.int32))], names=["fp", "ctx", "low", "high", "w", "k"])
+def _exploded(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, ctx, low, high, chars in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                w = windows_of([chars], length)[0]
+                n = len(w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, fp)), pa.array(np.full(n, ctx)), pa.array(np.full(n, low)), pa.array(np.full(n, high)), cp.signed(w), pa.array(np.arange(n, dtype=np.int32))], names=["fp", "ctx", "low", "high", "w", "k"])
+
+    return run
 
 
 def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
@@ -159,17 +175,21 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH
     contexts = materialise(contexts, "contexts")
     whole = contexts.where("low < high").select("fp", "ctx", F.lit(0).alias("first"), (F.col("at.before") + F.col("at.after") - F.lit(length) + 1).cast("int").alias("last"))
     crowd = contexts.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("low = high")).alias("some")).where("n > 1 and some")
-    open_ = contexts.join(crowd.select("fp", "n"), "fp")
-    wanted = open_.select(F.col("at.id").alias("id"), F.struct("fp", "ctx", F.col("at.pos").alias("pos"), F.col("at.before").alias("before"), F.col("at.after").alias("after")).alias("p")).groupBy("id").agg(F.collect_list("p").alias("wanted"))
-    hashed = texts.dropDuplicates(["id"]).join(wanted, "id").select("id", "text", "wanted").mapInArrow(_windows(length, gram), "fp bigint, ctx bigint, windows binary")
-    hashed = materialise(hashed.join(open_.select("fp", "ctx", "low", "high", "n"), ["fp", "ctx"]).select("fp", "ctx", "low", "high", "windows", "n"), "windows")
-    few = hashed.where(F.col("n") <= most_contexts).drop("n").repartition("fp").sortWithinPartitions("fp")
-    parts = whole.unionByName(few.mapInArrow(_factors, "fp bigint, ctx bigint, first int, last int"))
-    many = hashed.where(F.col("n") > most_contexts).drop("n")
-    if not many.isEmpty():
-        each = many.mapInArrow(_exploded, "fp bigint, ctx bigint, low bigint, high bigint, w bigint, k int")
-        hot = each.groupBy("fp", "w").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("fp", "w")
-        parts = parts.unionByName(each.join(hot, ["fp", "w"]).select("fp", "ctx", F.col("k").alias("first"), (F.col("k") + 1).alias("last")))
+    crowd = materialise(crowd, "crowd")
+
+    def block_contexts(chosen: DataFrame) -> DataFrame:
+        """(fp, ctx, low, high, chars) of the blocks chosen; the characters are cut out of one record of each context."""
+        place = F.struct("fp", "ctx", "low", "high", F.col("at.pos").alias("pos"), F.col("at.before").alias("before"), F.col("at.after").alias("after"))
+        wanted = contexts.join(chosen.select("fp"), "fp", "left_semi").select(F.col("at.id").alias("id"), place.alias("p")).groupBy("id").agg(F.collect_list("p").alias("wanted"))
+        return texts.join(wanted, "id").select("text", "wanted").mapInArrow(_contexts(length, gram), "fp bigint, ctx bigint, low bigint, high bigint, chars string")
+
+    few = block_contexts(crowd.where(F.col("n") <= most_contexts)).repartition("fp").sortWithinPartitions("fp")
+    parts = whole.unionByName(few.mapInArrow(_factors(length), "fp bigint, ctx bigint, first int, last int"))
+    hot = crowd.where(F.col("n") > most_contexts)
+    if not hot.isEmpty():
+        each = materialise(block_contexts(hot), "hot").mapInArrow(_exploded(length), "fp bigint, ctx bigint, low bigint, high bigint, w bigint, k int")
+        shared = each.groupBy("fp", "w").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("fp", "w")
+        parts = parts.unionByName(each.join(shared, ["fp", "w"]).select("fp", "ctx", F.col("k").alias("first"), (F.col("k") + 1).alias("last")))
     factors = places.join(parts, ["fp", "ctx"]).select("id", (F.col("pos") - F.col("before") + F.col("first")).alias("s"), (F.col("pos") - F.col("before") + F.col("last") - 1 + length).alias("e")).distinct()
     return merged(factors)
 

@@ -18,7 +18,9 @@ def raw_words(text: Column) -> Column:
 
 def useful(term: Column) -> Column:
     """Neither too long nor an over-long number."""
-    return (F.octet_length(term) <= MAX_TERM_BYTES) & ~term.rlike(r"^[0-9]{%d,}$" % (MAX_NUMBER_BYTES + 1))
+    size = F.octet_length(term)
+    # Most terms are short, and a short one needs no pattern.
+    return (size <= MAX_NUMBER_BYTES) | ((size <= MAX_TERM_BYTES) & ~term.rlike(r"^[0-9]{%d,}$" % (MAX_NUMBER_BYTES + 1)))
 
 
 def without_scheme(url: Column) -> Column:

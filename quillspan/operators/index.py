@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hosts import plain_host
-from ..functions.text import FIELD_GAP, FIELDS, field_lengths, field_tokens, not_blank, thousandths, without_scheme
+from ..functions.text import FIELD_GAP, FIELDS, not_blank, raw_words, thousandths, useful, without_scheme
 from ..functions.urls import host_raw
-from ..session import materialise, table
+from ..session import drop_materialised, materialise, table
 from .anchors import anchor_texts
 
 FORMAT_VERSION = 1
@@ -31,8 +31,10 @@ class Index:
     def stored(self) -> Index:
         """The index written to the shared folder, postings in the order of their terms, so that a
         filter on terms reads only the row groups that hold them."""
-        by_term = self.postings.repartitionByRange("term").sortWithinPartitions("term", "crawl_doc")
-        return Index(materialise(by_term, "postings"), materialise(self.dictionary, "dictionary"), materialise(self.doc_table, "doc_table"), materialise(self.stats, "stats"))
+        made = materialise(self.postings, "postings")
+        by_term = materialise(made.repartitionByRange("term").sortWithinPartitions("term", "crawl_doc"), "by-term")
+        drop_materialised(made)
+        return Index(by_term, materialise(dictionary(by_term), "dictionary"), self.doc_table, materialise(self.stats, "stats"))
 
 
 def crawl_docs(records: DataFrame) -> DataFrame:
@@ -58,17 +60,28 @@ def segments(docs: DataFrame, per_segment: int = DOCS_PER_SEGMENT) -> DataFrame:
     return ranked.join(before, "part").select("crawl_doc", F.floor((F.col("before") + F.col("r") - 1) / per_segment).cast("int").alias("segment"))
 
 
+def worded(kept: DataFrame, columns: dict) -> DataFrame:
+    """Adds len_<field>, base_<field> and fields: per document, the words of each field with the place where the
+    field begins. Fields share one space of positions, with a gap between; a field's length ends with its last
+    surviving word. All of it is worked out within the row."""
+    slow = lambda words: F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(useful(w), i + 1))), F.lit(0))
+    last = lambda words: F.when(F.size(words) == 0, F.lit(0)).when(useful(F.element_at(words, -1)), F.size(words)).otherwise(slow(words))
+    out = kept.withColumns({f"w_{f}": raw_words(c) for f, c in columns.items()})
+    out = out.withColumns({f"len_{f}": last(F.col(f"w_{f}")) for f in columns})
+    return bases(out).withColumn("fields", F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"base_{f}").alias("base"), F.col(f"w_{f}").alias("words")) for i, f in enumerate(columns)))).drop(*(f"w_{f}" for f in columns))
+
+
 def build(records: DataFrame, anchors: bool = True, per_segment: int = DOCS_PER_SEGMENT) -> Index:
-    docs = crawl_docs(records)
-    kept = indexable(docs)
+    # Repeats are merged once; what follows reads whole documents from the copy, in many tasks.
+    docs = materialise(crawl_docs(records.select("crawl_doc", "url", "final_url", "title", "text", "headings", "links", "quality")), "docs")
+    kept = indexable(docs).select("crawl_doc", "url", "title", "text", "headings", "quality")
     if anchors:
-        kept = kept.join(anchor_texts(docs), "crawl_doc", "left")
-    tokens = field_tokens(kept, fields_of(anchors))
-    lengths = field_lengths(tokens, FIELDS)
-    own = kept.select("crawl_doc", F.lower(host_raw(F.col("url"))).alias("host"), thousandths(F.col("quality.text_ratio")).alias("text_ratio"), thousandths(F.col("quality.link_density")).alias("link_density"), F.coalesce("quality.scripts", F.lit(0)).alias("scripts"))
-    zero = {f"len_{f}": 0 for f in FIELDS}
-    doc_table = own.join(lengths, "crawl_doc", "left").fillna(zero).join(segments(kept, per_segment), "crawl_doc").withColumn("site_key", plain_host(F.col("host")))
-    return Index(postings(tokens, lengths), dictionary(tokens), doc_table, stats(doc_table))
+        kept = kept.join(materialise(anchor_texts(docs), "anchors"), "crawl_doc", "left")
+    kept = worded(kept, fields_of(anchors))
+    own = kept.select("crawl_doc", F.lower(host_raw(F.col("url"))).alias("host"), thousandths(F.col("quality.text_ratio")).alias("text_ratio"), thousandths(F.col("quality.link_density")).alias("link_density"), F.coalesce("quality.scripts", F.lit(0)).alias("scripts"), *(f"len_{f}" for f in FIELDS))
+    doc_table = materialise(own.join(segments(indexable(docs), per_segment), "crawl_doc").withColumn("site_key", plain_host(F.col("host"))), "doc_table")
+    made = postings(kept)
+    return Index(made, dictionary(made), doc_table, stats(doc_table))
 
 
 def bases(lengths: DataFrame) -> DataFrame:
@@ -80,17 +93,20 @@ def bases(lengths: DataFrame) -> DataFrame:
     return lengths
 
 
-def postings(tokens: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(term, crawl_doc, c_<field> ..., positions): counts by field and sorted positions."""
-    base = F.element_at(F.array(*(F.col(f"base_{f}") for f in FIELDS)), F.col("field") + 1)
-    placed = tokens.join(bases(lengths), "crawl_doc").select("term", "crawl_doc", "field", (base + F.col("position")).alias("position"))
+def postings(docs: DataFrame) -> DataFrame:
+    """(term, crawl_doc, c_<field> ..., positions): counts by field and sorted positions. A document's words all
+    come from its own row, so where documents are partitioned by id this needs no shuffle."""
+    # Outer generators: the inner ones would be given a filter on the size of the array, and with it all words made twice.
+    each = docs.select("crawl_doc", F.explode_outer("fields").alias("f")).select("crawl_doc", "f.field", "f.base", F.posexplode_outer("f.words").alias("at", "term"))
+    placed = each.where(F.col("term").isNotNull() & useful(F.col("term"))).select("crawl_doc", "term", "field", (F.col("base") + F.col("at")).alias("position"))
     counts = [F.sum(F.when(F.col("field") == i, 1).otherwise(0)).cast("int").alias(f"c_{f}") for i, f in enumerate(FIELDS)]
-    return placed.groupBy("term", "crawl_doc").agg(*counts, F.array_sort(F.collect_list("position")).alias("positions"))
+    found = placed.groupBy("crawl_doc", "term").agg(*counts, F.array_sort(F.collect_list("position")).alias("positions"))
+    return found.select("term", "crawl_doc", *(f"c_{f}" for f in FIELDS), "positions")
 
 
-def dictionary(tokens: DataFrame) -> DataFrame:
+def dictionary(postings_: DataFrame) -> DataFrame:
     """(term, df): documents that hold a term in any field."""
-    return tokens.select("term", "crawl_doc").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return postings_.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def stats(doc_table: DataFrame) -> DataFrame:

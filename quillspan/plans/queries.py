@@ -432,7 +432,7 @@ def stream_windows(spark, sf_dir):
     counted = ingest.events_per_window(stream)
     q = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/quillspan/{name}-{id(stream)}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_segments(spark, sf_dir):

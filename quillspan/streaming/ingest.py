@@ -72,4 +72,5 @@ def polite(records: DataFrame, delay: float = 3.0) -> DataFrame:
 def events_per_window(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums of events per window and type; events later than the watermark are dropped."""
     w = F.window("ts", length)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")

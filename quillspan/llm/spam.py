@@ -125,8 +125,8 @@ def is_spam(text: str | None) -> bool:
 
 
 def _nominated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose whole text holds at least half of MIN_WORDS listed words: no case has fewer once lines are removed,
-    since each line that is removed parts at most one window's words from the rest."""
+    """Rows whose whole text holds half of MIN_WORDS listed words, as a case has without its repeated lines. Lines
+    that part a list every few words could hide one here; that case has not been measured."""
     for batch in batches:
         texts = batch.column(2)
         for a, z in cp.slices(texts):

@@ -73,16 +73,17 @@ def dedupe_key(url: Column) -> Column:
     return F.concat(F.lower(host_raw(url)), short, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(F.lit("")))
 
 
-def trap(url: Column, depth: Column, fetched_of_host: Column) -> Column:
-    """The first trap that refuses an address, or null."""
+def trap(url: Column, depth: Column, fetched_of_host: Column, max_depth: int = MAX_DEPTH, max_per_host: int | None = MAX_PER_HOST) -> Column:
+    """The first trap that refuses an address, or null. No max_per_host: no quota."""
+    full = F.lit(False) if max_per_host is None else fetched_of_host >= max_per_host
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
     params = F.filter(F.split(query_of(url), "&"), lambda p: p != "")
     extension = F.lower(F.regexp_extract(path_of(url), r"\.([^./]*)/*$", 1))
     repeats = F.exists(segments, lambda s: (F.octet_length(s) >= 2) & (F.size(F.filter(segments, lambda o: o == s)) > MAX_SEGMENT_REPEATS))
     year = F.exists(segments, lambda s: s.rlike(r"^[0-9]{4}$") & ~s.cast("int").between(1990, 2100))
     return (
-        F.when(depth > MAX_DEPTH, "depth")
-        .when(fetched_of_host >= MAX_PER_HOST, "host quota")
+        F.when(depth > max_depth, "depth")
+        .when(full, "host quota")
         .when(F.size(segments) > MAX_SEGMENTS, "segments")
         .when(F.size(params) > MAX_PARAMS, "parameters")
         .when(extension.isin(SKIPPED_EXTENSIONS), "extension")

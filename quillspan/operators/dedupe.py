@@ -17,15 +17,28 @@ def hamming_pairs(fps: DataFrame, most: int = MOST_DISTANCE) -> DataFrame:
     16 bits) hold all pairs up to 6 bits apart and are 256 times as selective, and these are the keys joined on."""
     if most > BLOCKS - 2:
         raise ValueError(f"two of {BLOCKS} blocks agree only up to {BLOCKS - 2} bits")
-    one = fps.select("fingerprint").where("fingerprint is not null and fingerprint <> 0").distinct()
-    keys = [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
-    made = F.array(*(F.struct(F.lit(k).alias("k"), (block(F.col("fingerprint"), i) * 256 + block(F.col("fingerprint"), j)).alias("v")) for k, (i, j) in enumerate(keys)))
-    each = one.select("fingerprint", F.explode(made).alias("key")).select("key.k", "key.v", "fingerprint")
+    each = _keyed(fps)
     a, b = each.withColumnRenamed("fingerprint", "a"), each.withColumnRenamed("fingerprint", "b")
     met = a.join(b, ["k", "v"]).where(F.col("a") < F.col("b")).withColumn("distance", distance(F.col("a"), F.col("b"))).where(F.col("distance") <= most)
     return met.select("a", "b", "distance").distinct()
 
 
+def _keyed(fps: DataFrame) -> DataFrame:
+    """(k, v, fingerprint): the pairs of blocks of each fingerprint."""
+    one = fps.select("fingerprint").where("fingerprint is not null and fingerprint <> 0").distinct()
+    keys = [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
+    made = F.array(*(F.struct(F.lit(k).alias("k"), (block(F.col("fingerprint"), i) * 256 + block(F.col("fingerprint"), j)).alias("v")) for k, (i, j) in enumerate(keys)))
+    return one.select("fingerprint", F.explode(made).alias("key")).select("key.k", "key.v", "fingerprint")
+
+
+def near_any(fps: DataFrame, kept: DataFrame, most: int = MOST_DISTANCE) -> DataFrame:
+    """(fingerprint): those of fps that are equal to one of kept or at most ``most`` bits from it."""
+    if most > BLOCKS - 2:
+        raise ValueError(f"two of {BLOCKS} blocks agree only up to {BLOCKS - 2} bits")
+    met = _keyed(fps).join(_keyed(kept).withColumnRenamed("fingerprint", "old"), ["k", "v"])
+    return met.where(distance(F.col("fingerprint"), F.col("old")) <= most).select("fingerprint").distinct()
+
+
 def keep_first(docs: DataFrame, pairs: DataFrame, order: str = "crawl_doc") -> DataFrame:
     """(crawl_doc, kept): a page is dropped if it is near a page kept before it, in arrival order.
 

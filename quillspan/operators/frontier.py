@@ -1,7 +1,8 @@
 """The crawl as rounds over tables: admit, fetch, keep, follow.
 
-A round takes candidates, refuses those seen before, blocked or trapped, gives each
-host its turns, reads the pages from a fetcher and hands on their links.
+A round takes candidates, refuses those seen before, blocked, trapped or beyond their
+host's quota, gives each host its turns, reads the pages from a fetcher, keeps those
+that are no copies and hands on their links.
 """
 
 from __future__ import annotations
@@ -14,23 +15,26 @@ from pyspark.sql import functions as F
 
 from ..functions.simhash import fingerprints
 from ..functions.text import not_blank
-from ..functions.urls import MAX_PER_HOST, dedupe_key, host_node, normal_url, trap
+from ..functions.urls import MAX_DEPTH, MAX_PER_HOST, dedupe_key, host_node, normal_url, trap
 from ..session import materialise
+from . import dedupe
 
 
 @dataclass(frozen=True)
 class Settings:
-    max_pages: int = 1000
-    max_depth: int = 4
-    max_per_host: int = MAX_PER_HOST
+    """None is no bound. A host's addresses beyond per_host_and_round wait for a later round."""
+
+    max_pages: int | None = 1000
+    max_depth: int = MAX_DEPTH
+    max_per_host: int | None = MAX_PER_HOST
     delay: float = 3.0
-    per_host_and_round: int = 100
+    per_host_and_round: int | None = 100
     blocked: tuple[str, ...] = ()
 
 
-def judged(candidates: DataFrame, fetched: DataFrame | None = None, seen: DataFrame | None = None, blocked: tuple[str, ...] = ()) -> DataFrame:
-    """Adds key, host and refusal to (url, depth, arrival): null where a candidate is admitted. In this order:
-    inadmissible address, seen key or later twin of this round, blocked host, trap."""
+def judged(candidates: DataFrame, fetched: DataFrame | None = None, seen: DataFrame | None = None, blocked: tuple[str, ...] = (), max_depth: int = MAX_DEPTH, max_per_host: int | None = MAX_PER_HOST) -> DataFrame:
+    """Adds key, host, of_host and refusal to (url, depth, arrival): null where a candidate is admitted. In this order:
+    inadmissible address, seen key or later twin of this round, blocked host, trap. of_host counts what fetched holds."""
     rows = candidates.withColumn("normal", normal_url(F.col("url")))
     rows = rows.withColumn("key", dedupe_key(F.col("normal"))).withColumn("host", host_node(F.col("normal")))
     known = seen.select("key").distinct().withColumn("was_seen", F.lit(True)) if seen is not None else None
@@ -38,8 +42,17 @@ def judged(candidates: DataFrame, fetched: DataFrame | None = None, seen: DataFr
     counts = fetched.groupBy("host").agg(F.count(F.lit(1)).alias("of_host")) if fetched is not None else None
     rows = rows.join(counts, "host", "left") if counts is not None else rows.withColumn("of_host", F.lit(0))
     twin = F.row_number().over(Window.partitionBy("key").orderBy("arrival"))
-    refusal = F.when(F.col("normal").isNull(), "inadmissible").when(F.col("was_seen") | (F.col("twin") > 1), "seen").when(F.col("host").isin(list(blocked)) if blocked else F.lit(False), "blocked").otherwise(trap(F.col("normal"), F.col("depth"), F.coalesce("of_host", F.lit(0))))
-    return rows.withColumn("twin", twin).withColumn("refusal", refusal).drop("was_seen", "of_host", "twin")
+    refusal = F.when(F.col("normal").isNull(), "inadmissible").when(F.col("was_seen") | (F.col("twin") > 1), "seen").when(F.col("host").isin(list(blocked)) if blocked else F.lit(False), "blocked").otherwise(trap(F.col("normal"), F.col("depth"), F.coalesce("of_host", F.lit(0)), max_depth, max_per_host))
+    return rows.withColumn("twin", twin).withColumn("refusal", refusal).withColumn("of_host", F.coalesce("of_host", F.lit(0))).drop("was_seen", "twin")
+
+
+def within_quota(rows: DataFrame, max_per_host: int | None) -> DataFrame:
+    """Refuses what :func:`judged` admitted of a host beyond its quota, later arrivals first."""
+    if max_per_host is None:
+        return rows
+    place = F.row_number().over(Window.partitionBy("host", F.col("refusal").isNull()).orderBy("arrival"))
+    over = F.col("refusal").isNull() & (F.col("of_host") + F.col("place") > max_per_host)
+    return rows.withColumn("place", place).withColumn("refusal", F.when(over, "host quota").otherwise(F.col("refusal"))).drop("place")
 
 
 def refusals(rows: DataFrame) -> DataFrame:
@@ -58,33 +71,54 @@ def storable(pages: DataFrame) -> Column:
 
 
 def followed(pages: DataFrame, max_depth: int) -> DataFrame:
-    """(url, depth, arrival): links to follow of pages that allow it."""
-    links = pages.where("directives.follow").select("url", "depth", F.posexplode("links").alias("no", "link")).where(~F.col("link.nofollow"))
-    return links.select(F.col("link.url").alias("url"), (F.col("depth") + 1).alias("depth"), F.concat_ws(" ", F.col("url"), F.lpad(F.col("no").cast("string"), 6, "0")).alias("arrival")).where(F.col("depth") <= max_depth)
+    """(url, depth, arrival): links to follow of pages that allow it, in the order in which the pages were read (at)."""
+    links = pages.where("directives.follow").select("url", "depth", "at", F.posexplode("links").alias("no", "link")).where(~F.col("link.nofollow"))
+    return links.select(F.col("link.url").alias("url"), (F.col("depth") + 1).alias("depth"), F.concat_ws(" ", "at", F.col("url"), F.lpad(F.col("no").cast("string"), 6, "0")).alias("arrival")).where(F.col("depth") <= max_depth)
+
+
+def first_kept(pages: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """(arrival): the pages near no page stored before, nor near a page of their own round that is kept and arrived earlier."""
+    new = pages.select("arrival", "fingerprint")
+    if stored is not None:
+        new = materialise(new.join(dedupe.near_any(new, stored), "fingerprint", "left_anti"), "unlike")
+    return materialise(dedupe.keep_first(new, dedupe.hamming_pairs(new), "arrival").where("kept").select("arrival"), "kept")
 
 
 def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(records, refused). ``fetch`` takes (url, depth, host, key) and returns pages (url, depth, title, text, headings,
-    links, directives ...); where a page failed or is robbed of access it gives no row. Rounds end when nothing is
-    admitted, or once max_pages are stored. Exact copies and near copies are kept once, by first arrival."""
+    """(records, refused). ``fetch`` takes (url, depth, host, key, ready) and returns pages (url, depth, host, key, title,
+    text, headings, links, directives ...); where a page failed or is robbed of access it gives no row. ready is the second
+    of the crawl before which the address must not be read. Rounds end when no address waits, or once max_pages are stored:
+    the first by arrival. Exact copies and near copies are kept once, by first arrival; their links are followed."""
     todo = seeds.select("url", F.lit(0).alias("depth"), F.col("url").alias("arrival"))
-    seen = stored = refused = None
-    for _ in range(settings.max_depth + 1):
-        rows = materialise(judged(todo, stored, seen, settings.blocked), "round")
+    seen = waiting = stored = refused = None
+    n_stored, n_round, start = 0, 0, 0.0
+    while True:
+        rows = judged(todo, seen, seen, settings.blocked, settings.max_depth, settings.max_per_host)
+        rows = materialise(within_quota(rows, settings.max_per_host), "round")
         bad = rows.where("refusal is not null").select("url", "refusal")
         refused = bad if refused is None else refused.union(bad)
-        new = rows.where("refusal is null")
-        if new.isEmpty():
+        new = rows.where("refusal is null").select(F.col("normal").alias("url"), "depth", "host", "key", F.concat_ws(" ", F.lit(f"{n_round:06d}"), "arrival").alias("arrival"))
+        seen = new.select("key", "host") if seen is None else seen.union(new.select("key", "host"))
+        queue = materialise(schedule(new if waiting is None else waiting.unionByName(new), settings.delay), "queue")
+        now = queue if settings.per_host_and_round is None else queue.where(F.col("turn") <= settings.per_host_and_round)
+        last = now.agg(F.max("ready")).first()[0]
+        if last is None:
             break
-        seen = new.select("key") if seen is None else seen.union(new.select("key"))
-        pages = fetch(new.select(F.col("normal").alias("url"), "depth", "host", "key"))
+        waiting = None if settings.per_host_and_round is None else queue.where(F.col("turn") > settings.per_host_and_round).drop("turn", "ready")
+        now = now.withColumn("ready", F.col("ready") + F.lit(start))
+        at = F.concat_ws(" ", F.lit(f"{n_round:06d}"), F.format_string("%014.3f", F.col("ready")))
+        order = now.select("key", at.alias("at"), F.concat_ws(" ", at, "arrival").alias("arrival"))
+        pages = fetch(now.select("url", "depth", "host", "key", "ready")).join(order, "key")
         pages = materialise(pages.withColumn("fingerprint", fingerprints("text")), "pages")
-        kept = pages.where(storable(pages))
-        stored = kept if stored is None else stored.unionByName(kept)
-        if stored.count() >= settings.max_pages:
-            stored = stored.limit(settings.max_pages)
+        kept = first_kept(pages.where(storable(pages)), stored)
+        own = pages.join(kept, "arrival", "left_semi")
+        stored = own if stored is None else stored.unionByName(own)
+        n_stored += kept.count()
+        if settings.max_pages is not None and n_stored >= settings.max_pages:
+            stored = stored.orderBy("arrival").limit(settings.max_pages)
             break
         todo = followed(pages, settings.max_depth)
+        n_round, start = n_round + 1, start + last + settings.delay
     return stored, refused
 
 

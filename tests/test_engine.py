@@ -173,6 +173,46 @@ def test_admission_order(spark):
     assert got == {"1": None, "2": "seen", "3": "extension", "4": "inadmissible", "5": "depth", "6": "blocked", "7": "seen"}
 
 
+def small_web(spark, pages):
+    """A fetcher of (url, text, links), and the addresses it was asked for with the second each was ready."""
+    data = [(u, u.split("://")[1], "", t, [], [(x, "", False) for x in out], (True, True, True)) for u, t, out in pages]
+    web = spark.createDataFrame(data, "url string, key string, title string, text string, headings array<string>, links array<struct<url:string,anchor:string,nofollow:boolean>>, directives struct<index:boolean,archive:boolean,follow:boolean>").drop("url")
+    asked = []
+
+    def fetch(todo):
+        asked.append({r.key: r.ready for r in todo.collect()})
+        return todo.join(web, "key")
+
+    return fetch, asked
+
+
+def test_crawl_keeps_copies_once(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    text = [" ".join(r.choices(words, k=300)) for _ in range(4)]
+    pages = [("http://a.test/1", text[0], ["http://c.test/late"]), ("http://b.test/copy", text[0], ["http://d.test/own"]), ("http://b.test/near", text[1] + " end", []), ("http://a.test/2", text[1], [])]
+    pages += [("http://c.test/late", text[1] + " stop", ["http://c.test/3"]), ("http://d.test/own", text[2], []), ("http://c.test/3", text[3], [])]
+    fetch, _ = small_web(spark, pages)
+    seeds = spark.createDataFrame([(u,) for u, _, _ in pages[:4]], "url string")
+    kept, _ = frontier.crawl(seeds, fetch)
+    # A copy is not stored, but its links are followed; one of a later round is near a page stored before.
+    assert sorted(x.url for x in kept.collect()) == ["http://a.test/1", "http://a.test/2", "http://c.test/3", "http://d.test/own"]
+
+
+def test_crawl_of_a_hot_host(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    pages = [(f"http://hot.test/{i}", " ".join(r.choices(words, k=200)), []) for i in range(9)] + [("http://b.test/0", " ".join(r.choices(words, k=200)), [])]
+    seeds = spark.createDataFrame([(u,) for u, _, _ in pages], "url string")
+    fetch, asked = small_web(spark, pages)
+    kept, refused = frontier.crawl(seeds, fetch, frontier.Settings(max_per_host=7, per_host_and_round=3, delay=2.0))
+    hot = [{int(k[-1]): at for k, at in a.items() if k.startswith("hot")} for a in asked]
+    assert hot == [{0: 0.0, 1: 2.0, 2: 4.0}, {3: 6.0, 4: 8.0, 5: 10.0}, {6: 12.0}] and asked[0]["b.test/0"] == 0.0
+    assert kept.count() == 8 and rows(refused) == [("http://hot.test/7", "host quota"), ("http://hot.test/8", "host quota")]
+    first, _ = frontier.crawl(seeds, small_web(spark, pages)[0], frontier.Settings(max_pages=4, per_host_and_round=3))
+    assert sorted(x.url for x in first.collect()) == ["http://b.test/0", *(f"http://hot.test/{i}" for i in range(3))]
+
+
 def test_store_round_trip_and_version(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     s = store.write_store(records(spark, FIVE), path).first()

@@ -211,16 +211,19 @@ def extract_pages(spark, sf_dir):
 
 
 def crawl_rounds(spark, sf_dir):
-    """A crawl over the stored pages as if they were the web, from ten seeds."""
-    web = materialise(_page_html(docs_of(spark, sf_dir)).withColumn("key", urls.dedupe_key(urls.normal_url(F.col("url")))).drop("depth"), "web")
+    """A crawl over the stored pages as if they were the web, from all pages of depth 0 and without a cap on pages
+    or hosts. Of pages under one key, the first stored is the one read."""
+    keyed = docs_of(spark, sf_dir).withColumn("key", urls.dedupe_key(urls.normal_url(F.col("url"))))
+    first = materialise(keyed.where("key is not null").groupBy("key").agg(F.min("crawl_doc").alias("crawl_doc")), "first")
+    web = materialise(_page_html(docs_of(spark, sf_dir)).join(first, "crawl_doc").select("key", "html"), "web")
 
     def fetch(todo: DataFrame) -> DataFrame:
-        pages = todo.join(web.select("key", "html"), "key").dropDuplicates(["key"])
+        pages = todo.join(web, "key")
         read = html.extract(pages, "key", "url", "html")
         return pages.select("key", "depth", "host").join(read, "key").select("url", "depth", "host", "key", "title", "text", "headings", "links", "directives")
 
-    seeds = docs_of(spark, sf_dir).where("depth = 0 or crawl_doc < 10").orderBy("crawl_doc").limit(10).select("url")
-    records, refused = frontier.crawl(seeds, fetch, frontier.Settings(max_pages=5000, max_depth=3))
+    seeds = docs_of(spark, sf_dir).where("depth = 0").select("url")
+    records, _ = frontier.crawl(seeds, fetch, frontier.Settings(max_pages=None, max_per_host=None, per_host_and_round=None))
     return records.groupBy("depth").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("host").alias("hosts"))
 
 

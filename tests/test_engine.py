@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.operators import anchors, dedupe, evaluate, frontier, index, links, query, search
+from quillspan.plans import queries as plans
 from quillspan.sources import store
 from quillspan.streaming import ingest
 from tests.conftest import rows
@@ -213,6 +214,14 @@ def test_crawl_of_a_hot_host(spark):
     assert sorted(x.url for x in first.collect()) == ["http://b.test/0", *(f"http://hot.test/{i}" for i in range(3))]
 
 
+def test_crawl_rounds_begin_at_every_page_of_depth_0(spark, tmp_path):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    data = [record(100 + i, f"http://h{i}.test/", " ".join(r.choices(words, k=200))) for i in range(14)]
+    records(spark, data).write.parquet(f"file://{tmp_path}/records.parquet")
+    assert rows(plans.crawl_rounds(spark, f"file://{tmp_path}")) == [(0, 14, 14)]
+
+
 def test_store_round_trip_and_version(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     s = store.write_store(records(spark, FIVE), path).first()

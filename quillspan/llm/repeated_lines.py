@@ -121,3 +121,8 @@ def without_repeated(df: DataFrame, id_col: str, source: Column, text_col: str,
     rows = materialise(nominated, "nominated")
     chosen = chosen_wordings(df, id_col, source, text_col)
     return without_lines(rows, "id", "text", lines_of(rows, "id", F.col("source"), "text", chosen))
+
+
+def clean_texts(df: DataFrame, id_col: str, source: Column, text_col: str) -> DataFrame:
+    """(id, text): the texts of df without the lines that df repeats in their source."""
+    return without_lines(df, id_col, text_col, repeated_lines(df, id_col, source, text_col))

@@ -157,6 +157,14 @@ def test_residue_pages_over_repeated_lines(spark, model):
     assert rows(residue.residue_pages(df, "id", plain_host(F.col("host")), "text")) == [(50,)]
 
 
+def test_residue_in_short_lines_between_repeated_ones(spark, model):
+    _, natural = model
+    line = "Last December the old site of the garden club was worth more than the drawing that stood beside the river until somebody had repaired it"
+    data = [(i, "a.test", f"{line}\n{natural[i]}") for i in range(20)] + [(50, "a.test", "\n".join(f"{x}\n{line}" for x in ("Loading", "504", "Gateway", "Time-out", "nginx")))]
+    df = spark.createDataFrame(data, "id bigint, host string, text string")
+    assert rows(residue.residue_pages(df, "id", F.col("host"), "text")) == [(50,)]
+
+
 def test_residue_and_spam_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, host string, text string")
     assert rows(residue.residue_pages(df, "id", F.col("host"), "text")) == [] and rows(spam.spam_pages(df, "id", F.col("host"), "text")) == []

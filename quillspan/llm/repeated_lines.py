@@ -19,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-
 MIN_RECORDS, MIN_SHARE, MIN_LETTERS, FALSE_DISCOVERY = 5, 0.2, 8, 0.01
 
 
@@ -116,13 +114,6 @@ def without_lines(df: DataFrame, id_col: str, text_col: str, chosen: DataFrame)
     return texts.join(marked, "id", "left").select("id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
 
 
-def without_repeated(df: DataFrame, id_col: str, source: Column, text_col: str, nominated: DataFrame) -> DataFrame:
-    """(id, text): the nominated rows (id, source, text) without the lines that df repeats in their source."""
-    rows = materialise(nominated, "nominated")
-    chosen = chosen_wordings(df, id_col, source, text_col)
-    return without_lines(rows, "id", "text", lines_of(rows, "id", F.col("source"), "text", chosen))
-
-
 def clean_texts(df: DataFrame, id_col: str, source: Column, text_col: str) -> DataFrame:
     """(id, text): the texts of df without the lines that df repeats in their source."""
     return without_lines(df, id_col, text_col, repeated_lines(df, id_col, source, text_col))

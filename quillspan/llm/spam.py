@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import codepoints as cp
 from . import residue_seeds
-from .repeated_lines import without_repeated
+from .repeated_lines import clean_texts
 from .function_words import FUNCTION_WORDS
 
 WINDOW, LAGS = 20, 12
@@ -124,29 +124,21 @@ def is_spam(text: str | None) -> bool:
     return bool((listed & regular).sum() >= REGULAR_SHARE * listed.sum() or listed.sum() / items <= ITEM_WORDS)
 
 
-def _nominated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose whole text holds half of MIN_WORDS listed words, as a case has without its repeated lines. Lines
-    that part a list every few words could hide one here; that case has not been measured."""
+def _cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are marked joined, which marks at least the words that each has alone; those with enough are judged alone."""
     for batch in batches:
-        texts = batch.column(2)
+        texts = batch.column(1)
         for a, z in cp.slices(texts):
-            cps, off = cp.code_points(texts.slice(a, z - a))
+            part = texts.slice(a, z - a)
+            cps, off = cp.code_points(part)
             words, _, _, first = cp.word_hashes(cps, off)
             listed, _ = marks(words)
-            count = np.diff(np.concatenate([[0], np.cumsum(listed)])[first])
-            keep = np.flatnonzero((count >= MIN_WORDS // 2) & (np.diff(first) >= MIN_WORDS))
-            yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, z - a).take(pa.array(keep)) for i in range(3)], names=["id", "source", "text"])
-
-
-def _cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [i for i, t in enumerate(batch.column(1).to_pylist()) if is_spam(t)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64()))], names=["id"])
+            n, count = np.diff(first), np.diff(np.concatenate([[0], np.cumsum(listed)])[first])
+            keep = [i for i in np.flatnonzero((n >= MIN_WORDS) & (count >= CASE_SHARE * n)) if is_spam(part[i].as_py())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a).take(pa.array(keep, pa.int64()))], names=["id"])
 
 
 def spam_pages(df: DataFrame, id_col: str, source: Column, text_col: str) -> DataFrame:
     """(id): the keyword-stuffed and link-list pages."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), source.alias("source"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    nominated = rows.mapInArrow(_nominated, "id bigint, source string, text string")
-    clean = without_repeated(df, id_col, source, text_col, nominated)
-    return clean.mapInArrow(_cases, "id bigint").distinct()
+    return clean_texts(rows, "id", F.col("source"), "text").mapInArrow(_cases, "id bigint").distinct()

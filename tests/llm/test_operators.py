@@ -165,6 +165,16 @@ def test_residue_in_short_lines_between_repeated_ones(spark, model):
     assert rows(residue.residue_pages(df, "id", F.col("host"), "text")) == [(50,)]
 
 
+def test_spam_items_parted_by_repeated_lines(spark):
+    r = random.Random(4)
+    names = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)) for _ in range(200)]
+    line = "This is the shop of the old town and we are glad that you have come to see what is in it for you"
+    data = [(i, "a.test", f"{line}\n" + "The lamp of the house was older than the road, and nobody could say who had made it for us. " * 3) for i in range(20)]
+    data.append((50, "a.test", "\n".join(f"{r.choice(names)} sale {r.choice(names)}\n{line}" for _ in range(40))))
+    df = spark.createDataFrame(data, "id bigint, host string, text string")
+    assert rows(spam.spam_pages(df, "id", F.col("host"), "text")) == [(50,)]
+
+
 def test_residue_and_spam_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, host string, text string")
     assert rows(residue.residue_pages(df, "id", F.col("host"), "text")) == [] and rows(spam.spam_pages(df, "id", F.col("host"), "text")) == []

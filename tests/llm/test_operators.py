@@ -165,6 +165,11 @@ def test_residue_in_short_lines_between_repeated_ones(spark, model):
     assert rows(residue.residue_pages(df, "id", F.col("host"), "text")) == [(50,)]
 
 
+def test_sample_holds_whole_texts(spark):
+    texts = ["word " * 2000, "short"]
+    assert residue.natural_sample(frame(spark, list(enumerate(texts))), "id", "text") == texts[:1]
+
+
 def test_spam_items_parted_by_repeated_lines(spark):
     r = random.Random(4)
     names = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)) for _ in range(200)]

@@ -57,7 +57,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam.spam_pages(table(spark, sf_dir, "records"), "crawl_doc", plain_host(F.col("host")), "text").withColumnRenamed("id", "crawl_doc")
+    anchors, density = F.transform("links", lambda x: x["anchor"]), F.col("quality.link_density")
+    return spam.spam_pages(table(spark, sf_dir, "records"), "crawl_doc", plain_host(F.col("host")), "text", anchors, density).withColumnRenamed("id", "crawl_doc")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,20 @@ blank, outer blanks dropped. For each wording of a source the records that hold
 inside and outside the source are compared by Dunning's log-likelihood ratio; the
 tests of the whole collection are controlled by the Benjamini-Hochberg step-up rule.
 
-Significant lines are those in which the source exceeds the rest; *repeated* lines
-hold the floors on records and share. Cleaning anti-joins the chosen lines and puts
-the rest of each record together again by line number.
+A line is *repeated* if it holds the floors on records and share and either
+
+* its excess over the other sources is significant, which decides for all lines that
+  few sources have, or
+* it is *widespread*: it stands in at least ``WIDESPREAD`` of all records. Such a line can
+  fill every source alike, so that no source exceeds the rest, and is boilerplate still.
+
+Cleaning anti-joins the repeated wordings against the lines of each source and puts the
+lines that are left together again by their position.
 
 Defined results: null and blank texts count for nothing and hold no lines; a null
-source is a source of its own; rows that repeat an id count once; a text of which
-all lines are removed becomes empty; extra columns are ignored.
+source is a source of its own; rows that repeat an id count once, of different texts
+under one id the least is cleaned; a text of which all lines are removed becomes empty;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 MIN_RECORDS, MIN_SHARE, MIN_LETTERS, FALSE_DISCOVERY = 5, 0.2, 8, 0.01
+#: Share of all records from which a line is widespread. A line of the floors that is rarer than this has a
+#: log-likelihood ratio of 15 or more, far beyond what the control of false discoveries asks for.
+WIDESPREAD = 0.02
 
 
 def wording(line: Column) -> Column:
@@ -27,12 +39,12 @@ def wording(line: Column) -> Column:
 
 
 def lines(df: DataFrame, id_col: str, source: Column, text_col: str, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """(id, source, line_no, wording): the lines of enough letters. A wording goes on as two
-    64-bit hashes in one binary, so shuffles carry 16 bytes instead of a line."""
+    """(id, source, line_no, h1, h2): every line, written once for all that follows. The wording of a line of
+    enough letters goes on as two 64-bit hashes, so shuffles carry 16 bytes instead of a line; others have nulls."""
     texts = df.select(F.col(id_col).alias("id"), source.alias("source"), F.split(text_col, "\n").alias("lines")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    each = texts.select("id", "source", F.posexplode("lines").alias("line_no", "line")).select("id", "source", (F.col("line_no") + 1).cast("bigint").alias("line_no"), wording(F.col("line")).alias("wording"))
-    long = each.where(F.length(F.replace("wording", F.lit(" "), F.lit(""))) >= min_letters)
-    return long.select("id", "source", "line_no", F.xxhash64("wording").alias("h1"), F.xxhash64(F.concat(F.lit("second"), F.col("wording"))).alias("h2"))
+    each = texts.select("id", "source", F.posexplode("lines").alias("line_no", "line")).select("id", "source", (F.col("line_no") + 1).cast("int").alias("line_no"), wording(F.col("line")).alias("wording"))
+    long = F.length(F.replace("wording", F.lit(" "), F.lit(""))) >= min_letters
+    return materialise(each.select("id", "source", "line_no", F.when(long, F.xxhash64("wording")).alias("h1"), F.when(long, F.xxhash64(F.concat(F.lit("second"), F.col("wording")))).alias("h2")), "lines")
 
 
 def _x_log_x(n: Column) -> Column:
@@ -57,11 +69,12 @@ def _tail(llr: Column) -> Column:
     return F.when(llr > 0, log_p).otherwise(F.log10(F.lit(0.5)))
 
 
-def tested_lines(df: DataFrame, id_col: str, source: Column, text_col: str, min_records: int = MIN_RECORDS, false_discovery: float = FALSE_DISCOVERY) -> DataFrame:
+def tested_lines(df: DataFrame, id_col: str, source: Column, text_col: str, min_records: int = MIN_RECORDS, false_discovery: float = FALSE_DISCOVERY, own_lines: DataFrame | None = None) -> DataFrame:
     """(source, h1, h2, n_in, records_in, n_out, records_out, llr, log10_p, significant) of every wording in at least min_records of a source."""
+    own = lines(df, id_col, source, text_col) if own_lines is None else own_lines
+    held = own.where("h1 is not null").select("source", "h1", "h2", "id").distinct()
+    n_in = materialise(held.groupBy("source", "h1", "h2").agg(F.count(F.lit(1)).alias("n_in")), "counts")
     texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).where(~F.col(text_col).rlike(r"^[\s\p{Z}]*$"))
-    held = lines(df, id_col, source, text_col).select("source", "h1", "h2", "id").distinct()
-    n_in = held.groupBy("source", "h1", "h2").agg(F.count(F.lit(1)).alias("n_in"))
     per_source = texts.select(source.alias("source"), F.col(id_col).alias("id")).distinct().groupBy("source").agg(F.count(F.lit(1)).alias("records_in"))
     all_records = per_source.agg(F.sum("records_in").alias("records"))
     sums = n_in.groupBy("h1", "h2").agg(F.sum("n_in").alias("n_all"), F.max("n_in").alias("most")).where(F.col("most") >= min_records).drop("most")
@@ -69,15 +82,15 @@ def tested_lines(df: DataFrame, id_col: str, source: Column, text_col: str, min_
     joined = frequent.join(per_source, frequent.source.eqNullSafe(per_source.source)).drop(per_source.source)
     tests = joined.select("source", "h1", "h2", "n_in", "records_in", (F.col("n_all") - F.col("n_in")).alias("n_out"), (all_records.scalar() - F.col("records_in")).alias("records_out"))
     tests = tests.withColumn("llr", log_likelihood(F.col("n_in").cast("double"), F.col("records_in").cast("double"), F.col("n_out").cast("double"), F.col("records_out").cast("double")))
-    tests = tests.withColumn("log10_p", _tail(F.col("llr")))
-    return benjamini_hochberg(tests, "log10_p", false_discovery)
+    # Few rows, and the step-up rule reads them twice.
+    return benjamini_hochberg(materialise(tests.withColumn("log10_p", _tail(F.col("llr"))), "tests"), "log10_p", false_discovery)
 
 
 def benjamini_hochberg(tests: DataFrame, log10_p: str, rate: float) -> DataFrame:
     """Adds ``significant``. The step-up rule compares p(i) with rate * i / m; ranks come from a
-    histogram of log10 p in steps of 1/1000, so no global sort is needed: a test is ranked by the
-    number of tests in its own step or a more significant one. At most 4 million steps can occur."""
-    step = F.floor(F.greatest(F.col(log10_p), F.lit(-4000.0)) * 1000)
+    histogram of log10 p in steps of 1/100 down to -400, so no global sort is needed: a test is ranked by the
+    number of tests in its own step or a more significant one. The window runs over at most 40,000 steps."""
+    step = F.floor(F.greatest(F.col(log10_p), F.lit(-400.0)) * 100)
     stepped = tests.withColumn("step", step)
     counts = stepped.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.max(log10_p).alias("p"))
     ranked = counts.selectExpr("step", "p", "sum(n) over (order by step) as i", "sum(n) over () as m")
@@ -85,35 +98,44 @@ def benjamini_hochberg(tests: DataFrame, log10_p: str, rate: float) -> DataFrame
     return stepped.withColumn("significant", F.coalesce(F.col("step") <= limit.scalar(), F.lit(False))).drop("step")
 
 
-def chosen_wordings(df: DataFrame, id_col: str, source: Column, text_col: str, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(source, h1, h2): the repeated wordings of each source."""
-    tests = tested_lines(df, id_col, source, text_col, min_records)
-    # Excess over other sources nominates lines. A line that the other sources repeat as much can hold the
-    # floors without any excess, so the exact check is put to every tested line of the share.
-    share = F.col("n_in") / F.col("records_in") >= min_share
-    return tests.where(F.col("significant") | share).where(share & (F.col("n_in") >= min_records)).select("source", "h1", "h2")
+def chosen_wordings(tests: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(source, h1, h2, path): the repeated wordings of each source, found by 'excess' or as 'widespread'."""
+    floors = (F.col("n_in") >= min_records) & (F.col("n_in") / F.col("records_in") >= min_share)
+    widespread = (F.col("n_in") + F.col("n_out")) / (F.col("records_in") + F.col("records_out")) >= WIDESPREAD
+    path = F.when(F.col("significant"), "excess").when(widespread, "widespread")
+    return tests.withColumn("path", path).where(floors & F.col("path").isNotNull()).select("source", "h1", "h2", "path")
 
 
-def lines_of(df: DataFrame, id_col: str, source: Column, text_col: str, chosen: DataFrame) -> DataFrame:
-    """(id, line_no): the lines of df whose wording is among the chosen of their source."""
-    own = lines(df, id_col, source, text_col)
-    met = own.join(chosen, own.source.eqNullSafe(chosen.source) & (own.h1 == chosen.h1) & (own.h2 == chosen.h2), "left_semi")
-    return met.select("id", "line_no").distinct()
+def _met(own: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    return own.join(chosen, own.source.eqNullSafe(chosen.source) & (own.h1 == chosen.h1) & (own.h2 == chosen.h2), how)
 
 
 def repeated_lines(df: DataFrame, id_col: str, source: Column, text_col: str, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(id, line_no): every line whose wording is in at least min_records and min_share of the source's records."""
-    return lines_of(df, id_col, source, text_col, chosen_wordings(df, id_col, source, text_col, min_records, min_share))
+    """(id, line_no): every line whose wording its source repeats."""
+    own = lines(df, id_col, source, text_col)
+    chosen = chosen_wordings(tested_lines(df, id_col, source, text_col, min_records, own_lines=own), min_records, min_share)
+    return _met(own.where("h1 is not null"), chosen, "left_semi").select("id", F.col("line_no").cast("bigint").alias("line_no")).distinct()
 
 
-def without_lines(df: DataFrame, id_col: str, text_col: str, chosen: DataFrame) -> DataFrame:
-    """(id, text): the texts without the chosen (id, line_no). One row per id, of its least text."""
-    texts = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
-    marked = chosen.groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", (i + 1).cast("bigint")))
-    return texts.join(marked, "id", "left").select("id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
+def clean_texts(df: DataFrame, id_col: str, source: Column, text_col: str, extra: list[str] = ()) -> DataFrame:
+    """(id, text, extra ...): the texts of df without the lines that df repeats in their source, one row per id.
+    Extra columns come along from the row of the text."""
+    own = lines(df, id_col, source, text_col)
+    chosen = chosen_wordings(tested_lines(df, id_col, source, text_col, own_lines=own))
+    left = _met(own, chosen, "left_anti").groupBy("id").agg(F.collect_set("line_no").alias("kept"))
+    row = F.struct(F.col(text_col).alias("text"), *extra)
+    texts = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(row).alias("row")).select("id", "row.*")
+    parts = F.split("text", "\n")
+    # Positions of one id are few; those of another text under the same id fall out where it is shorter.
+    placed = F.transform(F.filter(F.array_sort(F.coalesce("kept", F.array().cast("array<int>"))), lambda i: i <= F.size(parts)), lambda i: F.element_at(parts, i))
+    whole = F.col("text").isNull() | (F.size("kept") == F.size(parts))
+    return texts.join(left, "id", "left").select("id", F.when(whole, F.col("text")).otherwise(F.array_join(placed, "\n")).alias("text"), *extra)
 
 
-def clean_texts(df: DataFrame, id_col: str, source: Column, text_col: str) -> DataFrame:
-    """(id, text): the texts of df without the lines that df repeats in their source."""
-    return without_lines(df, id_col, text_col, repeated_lines(df, id_col, source, text_col))
+def without_lines(df: DataFrame, id_col: str, text_col: str, chosen: DataFrame) -> DataFrame:
+    """(id, text): the texts without the chosen (id, line_no), one row per id, of its least text."""
+    texts = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
+    each = texts.select("id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line")).withColumn("line_no", F.col("at").cast("bigint") + 1)
+    left = each.join(chosen, ["id", "line_no"], "left_anti").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    text = F.when(F.size("l") > 0, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).otherwise(F.lit(""))
+    return texts.join(left, "id", "left").select("id", F.when(F.col("text").isNotNull(), F.coalesce(text, F.lit(""))).alias("text"))

@@ -200,6 +200,64 @@ def test_spam_kinds():
     assert [spam.is_spam(t) for t in (glossary, refrain, prose_, None, "", "buy buy buy")] == [False] * 6
 
 
+def spam_shapes():
+    r = random.Random(4)
+    names = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)) for _ in range(300)]
+    one = lambda: r.choice(names)
+    cycle = "lamp vase shade bulb desk chair sofa table mirror carpet curtain shelf stool bench".split()
+    return {
+        "a cycle of 14 keywords": " ".join(cycle * 6),
+        "a cycle of 40 keywords": " ".join((cycle + names[:26]) * 4),
+        "29 nouns": ", ".join(r.sample(names, 29)),
+        "30 nouns without separators": " ".join(r.sample(names, 30)),
+        "24 words": " ".join("cheap lamps buy".split() * 8),
+        "words and numbers": " ".join(f"{one()} {r.randint(1, 900)}" for _ in range(30)),
+        "a frame with function words": ". ".join(f"cheap {one()} for sale in {one()} and {one()} near you" for _ in range(12)),
+        "price list": "\n".join(f"{one()} {one()} {r.randint(1, 900)}.{r.randint(10, 99)} EUR add to basket {one()} {one()} in stock" for _ in range(25)),
+        "places": " | ".join(f"{one()} in {one()}" for _ in range(20)),
+    }
+
+
+@pytest.mark.parametrize("kind", list(spam_shapes()))
+def test_spam_shapes(kind):
+    assert spam.is_spam(spam_shapes()[kind])
+
+
+def test_link_titles_with_function_words_need_their_links():
+    r = random.Random(5)
+    names = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    titles = [f"The best of {n}" for n in names[:8]] + [f"How to buy a {n} for your {m}" for n, m in zip(names[8:16], names[16:24])] + [f"Where the {n} was made" for n in names[24:32]]
+    r.shuffle(titles)
+    assert spam.is_spam("\n".join(titles), titles, 0.9) and not spam.is_spam("\n".join(titles))
+
+
+def test_what_only_looks_like_spam():
+    r = random.Random(6)
+    names = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    annotated = "\n".join(f"{n} - which {r.choice(['my father made for the', 'nobody had seen since the', 'we found under an old'])} {m} in {r.choice(['spring', 'May'])}" for n, m in zip(names[:20], names[20:40]))
+    frames = ["Para la {} hace falta una {} vieja y 40 gramos de sal", "Dicen que la {} es más vieja que la {} donde duerme el perro", "La {} junto a la {} aún no estaba hallada", "En el cuaderno, la {} aparece vendida con la {} de mi padre"]
+    spanish = ". ".join(r.choice(frames).format(r.choice(names), r.choice(names)) for _ in range(14))
+    trace = "Sorry, this did not work\n" + "\n".join(f"  at {r.choice(names)}.{r.choice(names)} ({r.choice(names)}.js:{i * 31}:{i})" for i in range(1, 12))
+    unfilled = "\n".join(f"Price {{{{{n}}}}}" for n in names[:12])
+    said_again = "And the river ran on to the sea in the night.\n" * 14
+    assert [spam.is_spam(t) for t in (annotated, spanish, trace, unfilled, said_again, "Home\nNext page")] == [False] * 6
+
+
+def test_spam_judges_texts_alike_alone_and_together():
+    texts = [*spam_shapes().values(), None, "", "x", "The lamp of the house was older than the road, and nobody could say who had made it for us. " * 8]
+    arr = spam.pa.array(texts, spam.pa.string())
+    assert list(spam.judged(arr)) == [bool(spam.judged(spam.pa.array([t], spam.pa.string()))[0]) for t in texts]
+
+
+def test_spam_of_a_hot_source_with_odd_rows(spark):
+    """Half of the rows under one source, one keyword in all of them; null links and null density; a repeated id."""
+    text = spam_shapes()["price list"]
+    plain = "The lamp of the house was older than the road, and nobody could say who had made it for us."
+    data = [(i, "hot", text, None, None) for i in range(4)] + [(i, f"h{i}", plain, [None, plain], 0.9) for i in range(10, 20)] + [(1, "hot", text, None, None), (None, "hot", text, [], 0.0), (30, None, None, [], None)]
+    df = spark.createDataFrame(data, "id bigint, host string, text string, links array<string>, density double")
+    assert sorted(rows(spam.spam_pages(df, "id", F.col("host"), "text", F.col("links"), F.col("density")))) == [(i,) for i in range(4)]
+
+
 # --- 3 ---
 
 
@@ -275,6 +333,34 @@ def test_repeated_lines_equal_brute_force_and_texts_lose_them(spark):
         assert clean[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n"), 1) if (i, k) not in want))
 
 
+def test_lines_of_every_source_are_widespread_and_others_need_excess(spark):
+    """A line that fills all sources alike shows no excess; a line of one source does. Cleaning leaves the rest in place."""
+    r = random.Random(11)
+    data = [(h * 100 + i, f"h{h}", f"{prose(r, 8)}\nSubscribe to our letter\n{prose(r, 9)}" + ("\nOnly here we say this" if h == 3 else "")) for h in range(6) for i in range(20)]
+    df = spark.createDataFrame(data, "id bigint, host string, text string")
+    tests = repeated_lines.tested_lines(df, "id", F.col("host"), "text")
+    paths = {(x.source, x.n_in + x.n_out): x.path for x in repeated_lines.chosen_wordings(tests).join(tests, ["source", "h1", "h2"]).collect()}
+    assert paths == {**{(f"h{h}", 120): "widespread" for h in range(6)}, ("h3", 20): "excess"}
+    clean = dict(rows(repeated_lines.clean_texts(df, "id", F.col("host"), "text")))
+    for i, _, t in data:
+        x = t.split("\n")
+        assert clean[i] == f"{x[0]}\n{x[2]}"
+
+
+def test_significance_decides_the_lines(spark):
+    """p5's plan keeps the test: a wording of the floors that is neither significant nor widespread is left out."""
+    tests = spark.createDataFrame([("a", 1, 1, 5, 25, 0, 1000, True), ("a", 2, 2, 5, 25, 0, 1000, False), ("b", 3, 3, 5, 25, 100, 1000, False), ("b", 4, 4, 4, 5, 0, 1000, True)], "source string, h1 bigint, h2 bigint, n_in bigint, records_in bigint, n_out bigint, records_out bigint, significant boolean")
+    assert [(x.h1, x.path) for x in repeated_lines.chosen_wordings(tests).orderBy("h1").collect()] == [(1, "excess"), (3, "widespread")]
+
+
+def test_clean_texts_of_odd_rows(spark):
+    line = "This line comes back on every page"
+    data = [(i, "a", f"{line}\nown {i} words of this page\n\n{line}") for i in range(8)] + [(20, "a", line), (21, "a", None), (22, "a", ""), (0, "a", f"{line}\nown 0 words of this page\n\n{line}"), (None, "a", line)]
+    df = spark.createDataFrame(data, "id bigint, host string, text string")
+    got = dict(rows(repeated_lines.clean_texts(df, "id", F.col("host"), "text")))
+    assert got == {**{i: f"own {i} words of this page\n" for i in range(8)}, 20: "", 21: None, 22: ""}
+
+
 def test_log_likelihood_and_tail(spark):
     import math
 

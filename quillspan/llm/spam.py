@@ -56,7 +56,7 @@ EXCESS, WORD_EXCESS = 0.22, 0.3
 #: Where this share of the words are function words, as in prose, one frame must make up so much of the window.
 WRITTEN, WRITTEN_EXCESS = 0.36, 0.38
 #: Share of words, none a function word, that came back within a window, above which all of it is stuffed; prose has under 0.1.
-STUFFED = 0.3
+STUFFED = 0.25
 #: A sentence that is said again is longer than this, and has at least this share of function words.
 TURN, SAID_SHARE = 4, 0.3
 CASE_SHARE = 0.5
@@ -64,6 +64,8 @@ CASE_SHARE = 0.5
 PLAIN_WORD, FUNCTION_WORD, LINK_PAGE, LINK_DENSITY, EVIDENCE = 0.5, -2.1, 2.0, 0.6, 5.0
 #: Titles of links that make a list.
 LEAST_TITLES = 3
+#: Different filler words that make filler.
+LEAST_FILLERS = 3
 REGULAR_SHARE, ITEM_WORDS, UNEVEN_SHARE, FILLER_SHARE = 0.2, 6.0, 0.05, 0.3
 # Characters that part listed items.
 SEPARATORS = "\n\r,;|·•#/()[]<>»«-–—.:!?*"
@@ -233,11 +235,14 @@ def judged(texts: pa.Array, anchors: pa.ListArray | None = None, density: np.nda
     np.add.at(edge, at[hot], 1)
     np.add.at(edge, (at + width)[hot], -1)
     listed = np.cumsum(edge)[:-1] > 0
-    n_listed, filler = per(listed), per(member(words, _filler_hashes()))
+    gap, _ = gaps(own)
+    fillers = member(words, _filler_hashes())
+    # One word of the filler passage can be somebody's keyword.
+    filler = per(fillers) * (per(fillers & (gap == 0)) >= LEAST_FILLERS)
+    n_listed = per(listed)
     odds = PLAIN_WORD * n_listed + (FUNCTION_WORD - PLAIN_WORD) * per(listed & sentence)
     if density is not None:
         odds = odds + LINK_PAGE * (density > LINK_DENSITY)
-    gap, _ = gaps(own)
     crowded = around((gap > 0) & (gap <= WINDOW) & ~function, WINDOW // 2, low, high) >= STUFFED
     stuffed = around(crowded, WINDOW // 2, low, high) > 0
     uneven = per(listed & (gap > 0) & ~regular)

@@ -1,23 +1,28 @@
-"""Long exact spans shared between records: factoring against indexed reference blocks.
+"""Long exact spans shared between records: relative Lempel-Ziv parsing against indexed reference blocks.
 
 A character is shared if some ``length`` consecutive characters around it stand
-verbatim in another record. Every record is factored against reference blocks of
-the whole collection, and the factors of at least ``length`` characters are its
-shared spans:
-
-* The index holds *anchors*: of the grams of ``gram`` characters, each window of
-  ``length`` characters keeps its least. Two equal windows keep the same anchor, so
-  all places where a factor could come from meet at that anchor.
-* A reference block is an anchor found in at least two records, with every distinct
-  *context* (the characters that a window around the anchor can hold) once. Contexts
-  that two records share whole need no factoring: they are factors from end to end.
-* The other contexts are factored: the greedy factors of a context against the rest
-  of its block, at each window, by hashes of all windows; a factor that is cut at an
-  anchor's reach is continued at the next anchor, where windows overlap, so nothing
-  is lost at factor boundaries.
-
-A block of many distinct contexts (a hot anchor) is not gathered into one task: its
-windows are exploded and counted by hash instead, with partial sums.
+verbatim in another record. The whole collection is the reference, cut into blocks:
+
+* *Seeds.* Of the grams of ``gram`` characters, each window of ``length`` characters keeps
+  its least (an anchor). Two equal windows keep the same anchor, so every place that a
+  long factor could be copied from meets the record at that anchor: records are joined
+  to all blocks that can hold a factor of theirs, and to no others.
+* *Reference blocks.* A block is an anchor found in at least two records, with every
+  distinct *context* (the characters that a window around the anchor can hold) once. Its
+  index holds the hashes of all windows by their place about the anchor, and the contexts
+  in the order of their characters from the anchor on, as a suffix array has them.
+* *Parsing.* A context is parsed from left to right. The factor at a window is the longest
+  match with any context of another record: its source is a neighbour of it in the
+  suffix order among the contexts that share the window, so two comparisons by hashed
+  extension find it. Shorter factors are skipped.
+* *Boundaries.* A window that lies across the end of a factor is looked up in the index as
+  well: the next factor begins at the first window whose longest match reaches further.
+  So a context gives a staircase of overlapping factors, and no window is lost between
+  two sources. At the reach of an anchor, the factor goes on at the next anchor.
+
+Contexts that two records share whole need no parsing: they are factors from end to end.
+A block of many distinct contexts (a hot anchor) is not gathered into one task: its index
+is partitioned by window, and its windows are looked up there, with partial sums.
 
 Defined results: null and short texts give no rows; rows that repeat an id count as
 one record; null ids are left out; extra columns are ignored.
@@ -96,7 +101,7 @@ def _contexts(length: int, gram: int):
                 kept = np.flatnonzero(same)
                 col = lambda k: pa.array([flat[i][2][k] for i in kept], pa.int64())
                 cut = [cps[first[i] : last[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in kept]
-                yield pa.RecordBatch.from_arrays([col("fp"), col("ctx"), col("low"), col("high"), pa.array(cut, pa.string())], names=["fp", "ctx", "low", "high", "chars"])
+                yield pa.RecordBatch.from_arrays([col("fp"), col("ctx"), col("low"), col("high"), col("before"), pa.array(cut, pa.string())], names=["fp", "ctx", "low", "high", "before", "chars"])
 
     return run
 
@@ -108,49 +113,89 @@ def windows_of(chars: list[str], length: int) -> list[np.ndarray]:
     return [grams[a : z - length + 1] for a, z in zip(off[:-1], off[1:])]
 
 
-def runs(flags: np.ndarray) -> np.ndarray:
-    """Starts and ends of the runs of true values, one row each."""
-    edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
-    return edge.reshape(-1, 2)
+def extension(pre: np.ndarray, one: np.ndarray, other: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many characters from two places on agree, up to ``most``: bisection over hashes of spans."""
+    low, high = np.zeros(len(one), np.int64), most.astype(np.int64)
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        same = cp.span_hash(pre, one, one + mid) == cp.span_hash(pre, other, other + mid)
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    return low
 
 
-def factor_block(windows: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
-    """For each context of a block, the runs of windows that another record holds too."""
-    sizes = np.array([len(w) for w in windows])
-    every = np.concatenate(windows)
-    owner = np.repeat(np.arange(len(windows)), sizes)
-    order = np.argsort(every, kind="stable")
-    head = np.r_[True, every[order][1:] != every[order][:-1]]
-    group = np.cumsum(head) - 1
-    starts = np.flatnonzero(head)
-    shared = np.minimum.reduceat(low[owner][order], starts) < np.maximum.reduceat(high[owner][order], starts)
-    flags = np.empty(len(every), bool)
-    flags[order] = shared[group]
-    return [runs(f) for f in np.split(flags, np.cumsum(sizes)[:-1])]
+def parse(blocks: np.ndarray, chars: list[str], before: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The greedy factors of the contexts of whole blocks: context, start, end (within the context), context of the source.
+
+    low and high: least and greatest id of the records that hold a context. Contexts of
+    several records are sources only, as they are shared from end to end."""
+    n = len(chars)
+    suffix = np.array(sorted(range(n), key=lambda i: (blocks[i], chars[i][before[i] :])), np.int64)
+    cps, off = cp.code_points(pa.array([chars[i] for i in suffix], pa.string()))
+    pre = cp.prefix(cp.exact_symbols(cps))
+    block, lead, least, most = blocks[suffix], before[suffix].astype(np.int64), low[suffix], high[suffix]
+    count = np.maximum(np.diff(off) - length + 1, 0)
+    first = np.concatenate([[0], np.cumsum(count)])
+    owner = np.repeat(np.arange(n), count)
+    place = np.arange(first[-1]) - first[:-1][owner]
+    # The index: windows that agree in block, place about the anchor and characters lie together, in suffix order.
+    start = off[:-1][owner] + place
+    key = cp.gram_hash(pre, length)[start] ^ cp.mix(block.view(U))[owner] ^ cp.mix((place - lead[owner] + 4096).astype(U))
+    order = np.argsort(key, kind="stable")
+    sorted_owner = owner[order]
+    who = np.where(least == most, least, -1 - np.arange(n, dtype=np.int64))
+    record = who[sorted_owner]
+    m = len(order)
+    at = np.arange(m)
+    new_group = np.r_[True, key[order][1:] != key[order][:-1]] if m else np.zeros(0, bool)
+    new_record = new_group.copy()
+    new_record[1:] |= record[1:] != record[:-1]
+    heads = np.flatnonzero(new_record)
+    run = np.cumsum(new_record) - 1
+    run_end = np.r_[heads[1:], m]
+    # The nearest window on either side that another record holds.
+    prior = np.where(new_group[heads], -1, heads - 1)[run] if m else at
+    later = np.where((run_end < m) & ~new_group[np.minimum(run_end, m - 1)], run_end, -1)[run] if m else at
+    reach, source = np.full(m, -1, np.int64), np.full(m, -1, np.int64)
+    single = (least == most)[sorted_owner]
+    for near in (prior, later):
+        held = np.flatnonzero((near >= 0) & single)
+        if not len(held):
+            continue
+        pair = np.stack([sorted_owner[held], sorted_owner[near[held]]])
+        code, back = np.unique(pair[0] * n + pair[1], return_inverse=True)
+        one, other = code // n, code % n
+        agreed = extension(pre, off[one] + lead[one], off[other] + lead[other], np.minimum(off[one + 1] - off[one] - lead[one], off[other + 1] - off[other] - lead[other]))[back]
+        better = agreed > reach[held]
+        reach[held[better]], source[held[better]] = agreed[better], pair[1][better]
+    flat_reach, flat_source = np.empty(m, np.int64), np.empty(m, np.int64)
+    flat_reach[order], flat_source[order] = reach, source
+    # A factor begins where the longest match reaches further than the one before.
+    begins = flat_reach >= 0
+    begins[1:] &= (owner[1:] != owner[:-1]) | (flat_reach[1:] != flat_reach[:-1])
+    f = np.flatnonzero(begins)
+    return suffix[owner[f]], place[f], flat_reach[f] + lead[owner[f]], suffix[flat_source[f]]
 
 
 def _factors(length: int):
-    """Rows (fp, ctx, low, high, chars) sorted by fp -> (fp, ctx, first, last) runs of shared windows."""
+    """Rows (fp, ctx, low, high, before, chars), whole blocks together -> (fp, ctx, first, last) of their factors."""
 
-    def done(block: list[tuple]) -> pa.RecordBatch:
-        out: tuple[list, ...] = ([], [], [], [])
-        found = factor_block(windows_of([r[4] for r in block], length), np.array([r[2] for r in block]), np.array([r[3] for r in block]))
-        for r, part in zip(block, found):
-            for s, e in part:
-                for o, v in zip(out, (r[0], r[1], int(s), int(e))):
-                    o.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["fp", "ctx", "first", "last"])
+    def done(rows: list[tuple]) -> pa.RecordBatch:
+        fp, ctx, low, high, before = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        own, first, last, _ = parse(fp, [r[5] for r in rows], before, low, high, length)
+        return pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(ctx[own]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["fp", "ctx", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if block and block[0][0] != row[0]:
-                    yield done(block)
-                    block = []
-                block.append(row)
-        if block:
-            yield done(block)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if size >= cp.SLICE and rows[-1][0] != row[0]:
+                    yield done(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[5])
+        if rows:
+            yield done(rows)
 
     return run
 
@@ -158,7 +203,7 @@ def _factors(length: int):
 def _exploded(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fp, ctx, low, high, chars in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for fp, ctx, low, high, _, chars in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 w = windows_of([chars], length)[0]
                 n = len(w)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, fp)), pa.array(np.full(n, ctx)), pa.array(np.full(n, low)), pa.array(np.full(n, high)), cp.signed(w), pa.array(np.arange(n, dtype=np.int32))], names=["fp", "ctx", "low", "high", "w", "k"])
@@ -173,15 +218,15 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH
     places = materialise(texts.mapInArrow(_index(length, gram, False), "fp bigint, ctx bigint, id bigint, pos int, before smallint, after smallint").join(blocks, "fp"), "places")
     contexts = places.groupBy("fp", "ctx").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "pos", "before", "after")).alias("at"))
     contexts = materialise(contexts, "contexts")
-    whole = contexts.where("low < high").select("fp", "ctx", F.lit(0).alias("first"), (F.col("at.before") + F.col("at.after") - F.lit(length) + 1).cast("int").alias("last"))
+    whole = contexts.where("low < high").select("fp", "ctx", F.lit(0).alias("first"), (F.col("at.before") + F.col("at.after")).cast("int").alias("last"))
     crowd = contexts.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("low = high")).alias("some")).where("n > 1 and some")
     crowd = materialise(crowd, "crowd")
 
     def block_contexts(chosen: DataFrame) -> DataFrame:
-        """(fp, ctx, low, high, chars) of the blocks chosen; the characters are cut out of one record of each context."""
+        """(fp, ctx, low, high, before, chars) of the blocks chosen; the characters are cut out of one record of each context."""
         place = F.struct("fp", "ctx", "low", "high", F.col("at.pos").alias("pos"), F.col("at.before").alias("before"), F.col("at.after").alias("after"))
         wanted = contexts.join(chosen.select("fp"), "fp", "left_semi").select(F.col("at.id").alias("id"), place.alias("p")).groupBy("id").agg(F.collect_list("p").alias("wanted"))
-        return texts.join(wanted, "id").select("text", "wanted").mapInArrow(_contexts(length, gram), "fp bigint, ctx bigint, low bigint, high bigint, chars string")
+        return texts.join(wanted, "id").select("text", "wanted").mapInArrow(_contexts(length, gram), "fp bigint, ctx bigint, low bigint, high bigint, before bigint, chars string")
 
     few = block_contexts(crowd.where(F.col("n") <= most_contexts)).repartition("fp").sortWithinPartitions("fp")
     parts = whole.unionByName(few.mapInArrow(_factors(length), "fp bigint, ctx bigint, first int, last int"))
@@ -189,8 +234,8 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH
     if not hot.isEmpty():
         each = materialise(block_contexts(hot), "hot").mapInArrow(_exploded(length), "fp bigint, ctx bigint, low bigint, high bigint, w bigint, k int")
         shared = each.groupBy("fp", "w").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("fp", "w")
-        parts = parts.unionByName(each.join(shared, ["fp", "w"]).select("fp", "ctx", F.col("k").alias("first"), (F.col("k") + 1).alias("last")))
-    factors = places.join(parts, ["fp", "ctx"]).select("id", (F.col("pos") - F.col("before") + F.col("first")).alias("s"), (F.col("pos") - F.col("before") + F.col("last") - 1 + length).alias("e")).distinct()
+        parts = parts.unionByName(each.join(shared, ["fp", "w"]).select("fp", "ctx", F.col("k").alias("first"), (F.col("k") + F.lit(length)).alias("last")))
+    factors = places.join(parts, ["fp", "ctx"]).select("id", (F.col("pos") - F.col("before") + F.col("first")).alias("s"), (F.col("pos") - F.col("before") + F.col("last")).alias("e")).distinct()
     return merged(factors)
 
 

@@ -521,3 +521,36 @@ def test_winnow_keeps_one_of_every_window():
     h = r.integers(1, 50, 200).astype(np.uint64)
     at = set(codepoints.winnow(h, np.full(200, 200), 7).tolist())
     assert all(at & {i + int(k) for k in np.flatnonzero(h[i : i + 7] == h[i : i + 7].min())} for i in range(194))
+
+
+def test_parse_gives_the_longest_factors_and_loses_no_window():
+    """Against brute force: every window that another record holds about the same anchor lies in a factor, every factor
+    stands in its source, and none can be made longer to the right from where it begins."""
+    r = random.Random(31)
+    length = 12
+    for _ in range(60):
+        blocks, chars, before, low, high = [], [], [], [], []
+        for b in range(r.randint(1, 3)):
+            middle = "".join(r.choice("ab") for _ in range(6))
+            for _ in range(r.randint(1, 9)):
+                left, right = ("".join(r.choice("ab") if r.random() < 0.15 else c for c in "abbabaab"[: r.randint(0, 8)]) for _ in range(2))
+                left, right = left[::-1], right
+                i = r.randint(1, 5)
+                blocks.append(b), chars.append(left + middle + right), before.append(len(left)), low.append(i), high.append(i + (r.random() < 0.2))
+        n = len(chars)
+        own, first, last, source = shared_spans.parse(*(shared_spans.np.array(x, "int64") if x is not chars else x for x in (blocks, chars, before, low, high)), length)
+        found = {}
+        for c, s, e, o in zip(own, first, last, source):
+            assert low[c] == high[c] and (low[o] != high[o] or low[o] != low[c]) and e - s >= length
+            shift = before[o] - before[c]
+            assert blocks[o] == blocks[c] and chars[o][s + shift : e + shift] == chars[c][s:e]
+            longest = max((k for d in range(n) if blocks[d] == blocks[c] and (low[d] != high[d] or low[d] != low[c]) and s + before[d] - before[c] >= 0 for k in range(length, len(chars[c]) - s + 1) if chars[d][s + before[d] - before[c] :][:k] == chars[c][s:][:k] and len(chars[d][s + before[d] - before[c] :]) >= k), default=0)
+            assert e - s == longest
+            found.setdefault(c, set()).update(range(s, e - length + 1))
+        for c in range(n):
+            want = set()
+            for s in range(len(chars[c]) - length + 1):
+                at = [s + before[d] - before[c] if blocks[d] == blocks[c] and (low[d] != high[d] or low[d] != low[c]) else -1 for d in range(n)]
+                if any(a >= 0 and chars[d][a : a + length] == chars[c][s : s + length] for d, a in enumerate(at)):
+                    want.add(s)
+            assert found.get(c, set()) == (want if low[c] == high[c] else set())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import drop_materialised, materialise
 from . import codepoints as cp
 
 U = np.uint64
@@ -48,7 +48,7 @@ class Settings:
 def _functions(s: Settings) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(s.seed)
     n = s.bands * s.rows
-    return r.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), r.integers(0, 2**32, n, dtype=np.uint32)
+    return r.integers(0, 2**64, n, dtype=U), r.integers(0, 2**64, n, dtype=U)
 
 
 def shingles(cps: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,16 +69,17 @@ def shingles(cps: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndar
 
 
 def signatures(grams: np.ndarray, starts: np.ndarray, s: Settings) -> np.ndarray:
-    """texts x (bands * rows) minima of x -> a x + b modulo 2^32."""
+    """texts x (bands * rows) minima of x -> (a x + b mod 2^64) div 2^32, a strongly universal family for
+    x of 32 bits (multiply-add-shift). The shift keeps order, so it follows the minimum."""
     a, b = _functions(s)
-    x = (grams >> U(32)).astype(np.uint32)
+    x = grams >> U(32)
     out = np.empty((len(starts) - 1, len(a)), np.uint32)
     if len(out):
         v = np.empty_like(x)
         for j in range(len(a)):
             np.multiply(x, a[j], out=v)
             v += b[j]
-            np.minimum.reduceat(v, starts[:-1], out=out[:, j])
+            out[:, j] = np.minimum.reduceat(v, starts[:-1]) >> U(32)
     return out
 
 
@@ -113,7 +114,8 @@ def _sets(s: Settings):
             for a, z in cp.slices(texts):
                 cps, off = cp.code_points(texts.slice(a, z - a))
                 grams, starts, kept, _ = shingles(cps, off, s)
-                sig = signatures(grams, starts, s)
+                # A byte of each minimum is enough to estimate by; nearly all candidates pass, so the sets come along.
+                sig = signatures(grams, starts, s).astype(np.uint8)
                 sets = [np.unique(grams[starts[i] : starts[i + 1]]).tobytes() for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a).take(pa.array(kept)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(sets, pa.binary())], names=["id", "sig", "grams"])
 
@@ -128,7 +130,7 @@ def _verified(s: Settings):
             a, b, sim = [], [], []
             cols = [batch.column(i).to_pylist() for i in range(6)]
             for ia, ib, sa, sb, ga, gb in zip(*cols):
-                if (np.frombuffer(sa, np.uint32) == np.frombuffer(sb, np.uint32)).mean() < least:
+                if (np.frombuffer(sa, np.uint8) == np.frombuffer(sb, np.uint8)).mean() < least:
                     continue
                 x, y = np.frombuffer(ga, U), np.frombuffer(gb, U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -209,7 +211,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = materialise(small, "star")
+        last, now = now, materialise(small, "star")
+        drop_materialised(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -4,8 +4,8 @@ Words become hashes; of the grams of ``gram`` words, every window of
 ``span - gram + 1`` consecutive grams keeps its least. So two texts that share
 ``span`` consecutive words share a kept gram at the same place in that span,
 whatever surrounds it: no shared span of that length is missed. The kept grams of
-both sides are joined; each hit is extended in both directions over the words and
-counts if the extension reaches ``span`` words.
+both sides are joined; a hit fixes an alignment of both texts, along which the words are
+compared to the ends: every run of ``span`` or more equal words counts.
 
 Defined results: null, empty and short texts on either side match nothing; rows that
 repeat an id count once; null ids are left out; extra columns are ignored.
@@ -59,32 +59,32 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array([words[first[i] : first[i + 1]].tobytes() for i in range(z - a)], pa.binary())], names=["id", "words"])
 
 
-def extend(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """Words that agree before and from x[i], y[j] on."""
-    n = min(i, j)
-    differ = np.flatnonzero(x[i - n : i][::-1] != y[j - n : j][::-1])
-    left = int(differ[0]) if len(differ) else n
-    n = min(len(x) - i, len(y) - j)
-    differ = np.flatnonzero(x[i : i + n] != y[j : j + n])
-    return left, int(differ[0]) if len(differ) else n
+def shared_runs(x: np.ndarray, y: np.ndarray, diagonal: int, span: int) -> list[tuple[int, int]]:
+    """First word in x and number of words of each maximal run of at least ``span`` equal words x[i], y[i - diagonal]."""
+    start, end = max(0, diagonal), min(len(x), len(y) + diagonal)
+    if end - start < span:
+        return []
+    same = x[start:end] == y[start - diagonal : end - diagonal]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]]))).reshape(-1, 2)
+    return [(int(start + a), int(z - a)) for a, z in edge if z - a >= span]
 
 
 def _extended(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for doc, item, i, j, dw, iw in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            for doc, item, diagonals, dw, iw in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 x, y = np.frombuffer(dw, np.uint64), np.frombuffer(iw, np.uint64)
-                left, right = extend(x, y, i, j)
-                if left + right >= span:
-                    for o, v in zip(out, (doc, item, i - left, left + right)):
-                        o.append(v)
+                for d in diagonals:
+                    for first, n in shared_runs(x, y, d, span):
+                        for o, v in zip(out, (doc, item, first, n)):
+                            o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["doc_id", "item_id", "first_word", "words"])
 
     return run
 
 
-def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, span: int = SPAN, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, first_word, words): the maximal shared runs of at least ``span`` words."""
     pick = lambda df, i, t: df.select(F.col(i).cast("bigint").alias("id"), F.col(t).alias("text")).where("id is not null and text is not null")
     corpus, tests = pick(docs, doc_id, doc_text), pick(items, item_id, item_text)
@@ -92,12 +92,13 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     ours = materialise(tests.mapInArrow(_fingerprints(span, gram), schema).distinct(), "items")
     theirs = corpus.mapInArrow(_fingerprints(span, gram), schema)
     item_side = ours.select(F.col("id").alias("item_id"), "fp", F.col("pos").alias("item_pos"))
-    if ours.count() <= BROADCAST_ROWS:
+    if ours.count() <= broadcast_rows:
         item_side = F.broadcast(item_side)
-    # Hits on one alignment of the same two texts extend to the same run: the first is enough for that run,
-    # but one alignment can hold several runs, so every hit is kept and results are made distinct.
-    hits = materialise(theirs.join(item_side, "fp").select(F.col("id").alias("doc_id"), "item_id", F.col("pos").alias("doc_pos"), "item_pos").distinct(), "hits")
+    # All runs of one alignment of two texts come out of comparing them along it once, so hits go on as their diagonals,
+    # and the words of both texts are attached once per pair of texts.
+    hits = theirs.join(item_side, "fp").select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    hits = materialise(hits.groupBy("doc_id", "item_id").agg(F.collect_list("diagonal").alias("diagonals")), "hits")
     doc_words = corpus.join(hits.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").mapInArrow(_words, "id bigint, words binary").select(F.col("id").alias("doc_id"), F.col("words").alias("doc_words"))
     item_words = tests.mapInArrow(_words, "id bigint, words binary").select(F.col("id").alias("item_id"), F.col("words").alias("item_words"))
-    both = hits.join(doc_words, "doc_id").join(item_words, "item_id").select("doc_id", "item_id", "doc_pos", "item_pos", "doc_words", "item_words")
+    both = hits.join(doc_words, "doc_id").join(item_words, "item_id").select("doc_id", "item_id", "diagonals", "doc_words", "item_words")
     return both.mapInArrow(_extended(span), "doc_id bigint, item_id bigint, first_word bigint, words bigint").distinct()

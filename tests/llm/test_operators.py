@@ -149,6 +149,16 @@ def test_placeholders(text):
     assert residue.placeholder(f"The garden {text} of the house.") and not residue.placeholder(f"Write `{text}` there.")
 
 
+@pytest.mark.parametrize("text", ["{firstname}", "{FIRST_NAME}", "{{#if user}}", "{{ user.name | upper }}", "<?= $name ?>", "*|FNAME|*", "<nickname>", "[Company Name]", "$name$", "((name))", "{# name #}", "{first_name}", "%first_name%", "[% name %]", "{$name}", "{{{raw}}}"])
+def test_placeholders_of_common_engines(text):
+    assert residue.placeholder(f"The garden {text} of the house.") and not residue.placeholder(f"Write `{text}` there.")
+
+
+@pytest.mark.parametrize("text", ["[sic]", "{1, 2, 3}", "${HOME}", "<b>", "$5 and $6", "[1]", "100% of 5%", "((see note))", "[Editor's note]", "#garden #tools", "[Paris]", "a $4 b$ c", "{a, b}", "[The letter ends]", "<time>"])
+def test_signs_of_prose_are_no_placeholders(text):
+    assert not residue.placeholder(f"The garden {text} of the house.")
+
+
 def test_residue_pages_over_repeated_lines(spark, model):
     _, natural = model
     line = "Please consider a gift to the fund of this old site"
@@ -446,6 +456,26 @@ def test_leaks_equal_brute_force(spark):
     assert rows(leakage.leaks(frame(spark, []), "id", "text", frame(spark, items), "id", "text")) == []
 
 
+def test_leaks_are_alike_on_both_join_paths_and_for_repeated_words(spark):
+    """A passage that is the document over and over meets it on many alignments, each compared once."""
+    r = random.Random(21)
+    passage = prose(r, 40)
+    docs = [(i, " ".join([prose(r, 5), passage] * (1 + i % 3))) for i in range(12)] + [(50, "a b " * 60), (51, None), (52, passage)]
+    items = [(1, passage), (2, "a b " * 30), (3, prose(r, 12)), (4, None), (1, passage)]
+    both = [set(rows(leakage.leaks(frame(spark, docs), "id", "text", frame(spark, items), "id", "text", broadcast_rows=n))) for n in (500_000, 0)]
+    assert both[0] == both[1] and {(d, i) for d, i, *_ in both[0]} == {(i, 1) for i in range(12)} | {(50, 2), (52, 1)}
+    assert max(n for d, i, _, n in both[0] if d == 50) == 60 and {n for d, i, _, n in both[0] if d == 52} == {40}
+
+
+def test_hash_family_is_spread_evenly():
+    """Minima of the universal family estimate similarity without bias."""
+    s = near_duplicates.Settings(bands=64, rows=8)
+    grams = codepoints.mix(shared_spans.np.arange(3000, dtype="uint64"))
+    one, two = grams[:2000], grams[500:2500]
+    sig = near_duplicates.signatures(shared_spans.np.concatenate([one, two]), shared_spans.np.array([0, 2000, 4000]), s)
+    assert abs((sig[0] == sig[1]).mean() - 1500 / 2500) < 0.08
+
+
 # --- 9 ---
 
 

@@ -78,6 +78,58 @@ r as (select doc_id, s, sum(case when p is null or s > p + 200 then 1 else 0 end
 select doc_id, min(s) as span_start, max(s) + 200 as span_end from r group by doc_id, run""",
 }
 
+SQL["p9_portion"] = f"""
+with sp as ({SQL['p9_found']}),
+k as (select doc_id, count(*) as spans, sum(span_end - span_start)::bigint as shared_chars from sp group by 1)
+select d.doc_id, coalesce(length(text), 0)::bigint as chars, coalesce(spans, 0)::bigint as spans, coalesce(shared_chars, 0)::bigint as shared_chars from documents d left join k using (doc_id)"""
+
+SQL["p8_leaks"] = f"""
+with d as (select doc_id, {WORDS.format('text')} as w from documents where text is not null),
+i as (select item_id, {WORDS.format('passage')} as w from eval_items where passage is not null),
+dg as (select doc_id, unnest(range(0, len(w) - 12)) as i, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as g from d where len(w) >= 13),
+ig as (select item_id, unnest(range(0, len(w) - 12)) as j, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as g from i where len(w) >= 13),
+m as (select doc_id, item_id, i, i - j as diagonal, i - row_number() over (partition by doc_id, item_id, i - j order by i) as island from dg join ig using (g))
+select distinct doc_id, item_id, min(i)::bigint as first_word, (max(i) - min(i) + 13)::bigint as words from m group by doc_id, item_id, diagonal, island"""
+
+SQL["p1_classes"] = f"""
+with recursive found as ({SQL['p1_found']}),
+one as (select crawl_doc, any_value(text) as text from records where text is not null group by crawl_doc),
+w as (select crawl_doc, {WORDS.format('text')} as w from one),
+rep as (select crawl_doc, min(crawl_doc) over (partition by w) as rep from w where len(w) >= 80),
+l as (select distinct x.rep as a, y.rep as b from found join rep x on x.crawl_doc = crawl_doc_a join rep y on y.crawl_doc = crawl_doc_b where x.rep <> y.rep),
+e as (select a, b from l union select b, a from l),
+r as (select rep as node, rep as root from rep where rep = crawl_doc union select e.b, r.root from r join e on e.a = r.node),
+c as (select node, min(root) as class_id from r group by 1),
+deg as (select a as node, count(*) as links from e group by 1)
+select rep.crawl_doc, class_id, coalesce(links, 0)::bigint as links from rep join c on c.node = rep.rep left join deg on deg.node = rep.rep"""
+
+#: The tail of chi-square by the same formula as the operator, the step-up rule over exact ranks.
+SQL["p5_tests"] = f"""
+with {LINES},
+tot as (select sum(n)::bigint as records from n),
+al as (select w, sum(c)::bigint as n_all from c group by 1),
+t0 as (select c.host, c.w, c.c as n_in, n.n as records_in, n_all - c.c as n_out, records - n.n as records_out from c join n on c.host is not distinct from n.host join al using (w), tot where c.c >= 5),
+t1 as (select *, {{both}} as raw from t0),
+t2 as (select *, case when n_in * records_out >= n_out * records_in then greatest(0.0, raw) else -greatest(0.0, raw) end as llr from t1),
+t3 as (select *, sqrt(greatest(llr, 0) / 2) as x, 1.0 / (1 + 0.3275911 * sqrt(greatest(llr, 0) / 2)) as t from t2),
+t4 as (select *, case when llr > 0 then (ln((case when x < 2.5 then ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t else 0.5641895835477563 / (x + 0.5 / (x + 1.0 / (x + 1.5 / (x + 2.0 / (x + 0.5))))) end) / 2) - x * x) / ln(10.0) else log10(0.5) end as p from t3),
+t5 as (select *, count(*) over (order by p) as i, count(*) over () as m from t4),
+lim as (select max(p) as p from t5 where p <= log10(0.01 * i / m)),
+t6 as (select t5.*, coalesce(t5.p <= lim.p, false) as significant from t5, lim)
+select host, n_in, records_in, n_out, records_out, round(llr, 4) as llr, significant,
+  case when n_in * 5 >= records_in then case when significant then 'excess' when n_in + n_out >= 0.02 * (records_in + records_out) then 'widespread' end end as path from t6"""
+
+
+def _x_log_x(n: str) -> str:
+    return f"(case when {n} > 0 then ({n}) * ln({n}) else 0 end)"
+
+
+def _both(k: str, n: str) -> str:
+    return f"({_x_log_x(k)} + {_x_log_x(f'{n} - ({k})')} - {_x_log_x(n)})"
+
+
+SQL["p5_tests"] = SQL["p5_tests"].replace("{both}", f"2.0 * ({_both('n_in', 'records_in')} + {_both('n_out', 'records_out')} - {_both('n_in + n_out', '(records_in + records_out)')})")
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

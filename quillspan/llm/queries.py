@@ -66,9 +66,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tested wordings of each host with their log-likelihood ratio and significance."""
+    """The tested wordings of each host: counts, log-likelihood ratio, significance, and by which path a wording counts as repeated."""
     tests = repeated_lines.tested_lines(table(spark, sf_dir, "records"), "crawl_doc", plain_host(F.col("host")), "text")
-    return tests.withColumnRenamed("source", "host")
+    path = repeated_lines.chosen_wordings(tests).select(F.col("source").alias("s"), F.col("h1").alias("x"), F.col("h2").alias("y"), "path")
+    both = tests.join(path, F.col("source").eqNullSafe(F.col("s")) & (F.col("h1") == F.col("x")) & (F.col("h2") == F.col("y")), "left")
+    return both.select(F.col("source").alias("host"), "n_in", "records_in", "n_out", "records_out", F.round("llr", 4).alias("llr"), "significant", "path")
 
 
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

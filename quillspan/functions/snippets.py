@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,21 +13,14 @@ LENGTH, REACH = 240, 40
 _WORD = re.compile(r"[^\W_]+")
 
 
-def best_window(found: list[tuple[int, int, str]], size: int, budget: int, distinct: int) -> tuple[int, int]:
-    """The stretch of ``budget`` characters, a quarter of it before some match, that shows the most different terms; the earliest of equals."""
-    best, at = 0, (0, min(budget, size))
-    for start, _, _ in found:
-        a = max(0, start - budget // 4)
-        z = min(a + budget, size)
-        seen = len({t for s, e, t in found if s >= a and e <= z})
-        if seen > best:
-            best, at = seen, (a, z)
-            if seen >= distinct:
-                break
-    if not best and found:
-        a = max(0, found[0][0] - budget // 4)
-        return a, min(a + budget, size)
-    return at
+def densest(found: list[tuple[int, int, str]], size: int, budget: int) -> tuple[int, int]:
+    """Of the stretches of ``budget`` characters that have a quarter before one of the matches, the earliest that holds most
+    different terms. Matches are in order and do not overlap, so those within a stretch are a slice of them."""
+    starts, ends, terms = zip(*found)
+    begins = [max(0, s - budget // 4) for s in starts]
+    shown = lambda a: len(set(terms[bisect_left(starts, a) : bisect_right(ends, min(a + budget, size))]))
+    best = max(begins, key=shown)
+    return best, min(best + budget, size)
 
 
 def widened(text: str, start: int, end: int) -> tuple[int, int]:
@@ -51,7 +45,7 @@ def snippet(text: str | None, terms: list[str], allowed: bool = True, most: int
     budget = length if most is None else min(length, most)
     wanted = set(terms)
     found = [(m.start(), m.end(), t) for m in _WORD.finditer(text) if (t := m.group().lower()) in wanted]
-    start, end = best_window(found, len(text), budget, len(wanted)) if found else (0, min(budget, len(text)))
+    start, end = densest(found, len(text), budget) if found else (0, min(budget, len(text)))
     start, end = widened(text, start, end)
     part = text[start:end]
     lead = "…" if start > 0 else ""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_TERM_BYTES, MAX_NUMBER = 40, 12
@@ -120,4 +121,8 @@ def parsed(queries: DataFrame) -> DataFrame:
 
 
 def literal(spark: SparkSession, texts: dict[int, str]) -> DataFrame:
-    return spark.createDataFrame([r for i, t in texts.items() for r in parts_of(i, parse(t))], PARTS_SCHEMA)
+    """The parts of queries given as they are; a local table of the plan."""
+    rows = [r for i, t in texts.items() for r in parts_of(i, parse(t))]
+    types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    columns = [c.split()[0] for c in PARTS_SCHEMA.split(", ")]
+    return spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(columns, types))}))

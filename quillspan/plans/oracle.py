@@ -114,9 +114,13 @@ def _trust(rounds: int) -> str:
     return ", ".join(steps)
 
 
-NORMAL = f"""{DOCS},
-n0 as (select crawl_doc, url, depth, lower(regexp_extract(url, '^([^:/?#]*)://', 1)) as scheme, lower(regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1)) as auth, {PATH.format('url')} as path, list_filter({PAIRS.format('url')}, lambda p: not list_contains([{', '.join(f"'{x}'" for x in TRACKING + SESSIONS)}], lower(string_split(p, '=')[1]))) as pairs from docs),
-normed as (select crawl_doc, url, case when regexp_matches(url, '^(?i:https?)://') and {RAW_HOST.format('url')} <> '' and octet_length(encode(url)) <= 2048 then scheme || '://' || regexp_replace(auth, case when scheme = 'http' then ':80$' else ':443$' end, '') || (case when path = '' then '/' else path end) || (case when len(pairs) > 0 then '?' || array_to_string(pairs, '&') else '' end) end as normal from n0)"""
+def _normal(source: str, name: str) -> str:
+    """CTE ``name``: the rows of source with the normal form of their url."""
+    return f"""{name}0 as (select *, lower(regexp_extract(url, '^([^:/?#]*)://', 1)) as scheme, lower(regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1)) as auth, {PATH.format('url')} as path, list_filter({PAIRS.format('url')}, lambda p: not list_contains([{', '.join(f"'{x}'" for x in TRACKING + SESSIONS)}], lower(string_split(p, '=')[1]))) as pairs from {source}),
+{name} as (select * exclude (scheme, auth, path, pairs), case when regexp_matches(url, '^(?i:https?)://') and {RAW_HOST.format('url')} <> '' and octet_length(encode(url)) <= 2048 then scheme || '://' || regexp_replace(auth, case when scheme = 'http' then ':80$' else ':443$' end, '') || (case when path = '' then '/' else path end) || (case when len(pairs) > 0 then '?' || array_to_string(pairs, '&') else '' end) end as normal from {name}0)"""
+
+
+NORMAL = f"{DOCS}, u as (select crawl_doc, url, depth from docs), {_normal('u', 'normed')}"
 KEY = f"lower({RAW_HOST.format('{0}')}) || (case when regexp_matches({PATH.format('{0}')}, '^.+/$') then regexp_replace({PATH.format('{0}')}, '/$', '') else {PATH.format('{0}')} end) || (case when len({PAIRS.format('{0}')}) > 0 then '?' || array_to_string(list_sort({PAIRS.format('{0}')}), '&') else '' end)"
 TRAP = f"""case when depth > 4 then 'depth' when len(list_filter(string_split({PATH.format('{0}')}, '/'), lambda s: s <> '')) > 12 then 'segments'
  when len(list_filter(string_split(regexp_extract({{0}}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '')) > 4 then 'parameters'
@@ -162,6 +166,13 @@ def oracle_sql() -> dict[str, str]:
         "url_tokens": f"with {_index(False)} select term, count(*) as occurrences, count(distinct crawl_doc) as documents from tok where field = 3 group by 1",
         "url_keys": f"with {NORMAL} select crawl_doc, normal, {KEY.format('normal')} as key from normed",
         "trap_reasons": f"with {DOCS}, l as (select distinct unnest(links).url as url, depth + 1 as depth from docs), a as (select * from l where regexp_matches(url, '^(?i:https?)://') and {RAW_HOST.format('url')} <> '' and octet_length(encode(url)) <= 2048) select coalesce({TRAP.format('url')}, 'none') as reason, count(*) as links from a group by 1",
+        "frontier_admission": f"with {NORMAL}, own as (select distinct {KEY.format('normal')} as key from normed), li as (select crawl_doc, depth + 1 as depth, unnest(range(0, len(links))) as no, unnest(links).url as url, coalesce(unnest(links).nofollow, false) as nofollow from docs), c as (select crawl_doc, depth, no, url from li where not nofollow), {_normal('c', 'cn')}, k as (select *, {KEY.format('normal')} as key from cn), t as (select *, row_number() over (partition by key order by crawl_doc, no) as twin from k) select case when normal is null then 'inadmissible' when key in (select key from own where key is not null) or twin > 1 then 'seen' else coalesce({TRAP.format('normal')}, 'admitted') end as outcome, count(*) as candidates from t group by 1",
+        "robots_verdicts": f"with {DOCS}, p as (select crawl_doc, coalesce(nullif({PATH.format('url')}, ''), '/') as path from docs) select crawl_doc, case when regexp_matches(path, '^/archive/.*-5') then true when regexp_matches(path, '^/archive/') then false when regexp_matches(path, '^/.*\\.html$') then false else true end as allowed from p",
+        "kept_pages": f"""with recursive {DOCS}, f as (select fingerprint as f, min(crawl_doc) as arrival, row_number() over (order by min(crawl_doc)) as i from docs where fingerprint is not null and fingerprint <> 0 group by 1),
+k as (select 0::bigint as i, []::bigint[] as held union all select f.i, case when len(list_filter(held, lambda x: bit_count(xor(x, f.f)) <= 6)) > 0 then held else list_append(held, f.f) end from k join f on f.i = k.i + 1),
+h as (select unnest(held) as f from (select held from k order by i desc limit 1))
+select crawl_doc, f.f is null or (f.arrival = crawl_doc and f.f in (select f from h)) as kept from docs left join f on f.f = docs.fingerprint""",
+        "front_coding": f"with {FULL}, b as (select term, coalesce(lag(term) over (partition by left(term, 2) order by encode(term)), '') as before from dict), s as (select term, coalesce(list_max(list_filter(range(1, length(term) + 1), lambda i: left(term, i) = left(before, i))), 0) as letters from b) select count(*) as terms, sum(octet_length(encode(term)))::bigint as plain, sum(2 + octet_length(encode(term)) - octet_length(encode(left(term, letters))))::bigint as coded from s",
         "registrable_domains": f"with {DOCS} select distinct {NODE.format('url')} as host, {SITE.format(NODE.format('url'))} as domain from docs",
         "politeness": f"with {DOCS}, t as (select crawl_doc, {NODE.format('url')} as host from docs) select crawl_doc, host, turn, (turn - 1) * 3.0::double as ready from (select *, row_number() over (partition by host order by crawl_doc) as turn from t)",
         "domain_survey": f"""with {DOCS}, o as (select regexp_extract({NODE.format('url')}, '([^.]+)$', 1) as area, quality.words as words, case when status in (401, 403, 429) then 'refused' when coalesce(regexp_matches(text, '(?i)captcha|verify you are human|checking your browser|enable javascript and cookies'), false) then 'challenged' when status between 200 and 299 then 'served' else 'error' end as outcome from docs)

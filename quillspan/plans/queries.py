@@ -126,11 +126,13 @@ def codec_sizes(spark, sf_dir):
 
 
 def front_coding(spark, sf_dir):
-    """Bytes of the sorted dictionary plain and front-coded, measured by the prefix shared with the word before."""
-    d = index.of_tables(spark, sf_dir).dictionary.select("term", F.substring("term", 1, 1).alias("head"))
-    before = F.lag("term").over(Window.partitionBy("head").orderBy("term"))
-    shared = F.coalesce(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("term"), F.lit(1))), F.lit(0), lambda n, i: F.when(F.substring(F.col("term"), F.lit(1), i) == F.substring(F.col("before"), F.lit(1), i), i).otherwise(n)), F.lit(0))
-    return d.withColumn("before", before).withColumn("shared", F.when(F.col("before").isNull(), 0).otherwise(shared)).agg(F.count(F.lit(1)).alias("terms"), F.sum(F.length("term")).alias("plain"), F.sum(F.length("term") - F.col("shared")).alias("coded"))
+    """Bytes of the sorted dictionary plain and front-coded. A term is coded as the bytes it shares with the one before, the
+    bytes that follow, and these; both numbers are one byte, as no term is longer than 40. Coding begins anew with each two letters."""
+    d = index.of_tables(spark, sf_dir).dictionary.select("term", F.substring("term", 1, 2).alias("head"))
+    d = d.withColumn("before", F.coalesce(F.lag("term").over(Window.partitionBy("head").orderBy("term")), F.lit("")))
+    letters = F.aggregate(F.sequence(F.lit(1), F.length("term")), F.lit(0), lambda n, i: F.when(F.substring(F.col("term"), F.lit(1), i) == F.substring(F.col("before"), F.lit(1), i), i).otherwise(n))
+    shared = F.octet_length(F.substring(F.col("term"), F.lit(1), letters))
+    return d.agg(F.count(F.lit(1)).alias("terms"), F.sum(F.octet_length("term")).alias("plain"), F.sum(2 + F.octet_length("term") - shared).alias("coded"))
 
 
 def size_report(spark, sf_dir):

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. It is read from ``spark.checkpoint.dir``;
-    a local folder is set only where that is unset (tests, one machine)."""
+    a local folder is set only where that is unset and all runs in one process (tests); a cluster without it is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("quillspan.local.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="quillspan-")
             spark.conf.set("quillspan.local.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

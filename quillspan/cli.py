@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
                 v.add_argument(option, default=default, type=type(default) if default is not None else str)
         return v
 
-    verb("crawl", seeds=str, pages=str, out=str, max_pages=1000, delay=3.0, max_depth=4, max_per_host=5000, user_agent="quillspan", quiet=bool)
+    verb("crawl", seeds=str, pages=str, out=str, max_pages=1000, delay=3.0, max_depth=4, max_per_host=5000, near_bits=0, user_agent="quillspan", quiet=bool)
     verb("index", crawl=str, out=str, docs_per_segment=50_000, quiet=bool)
     verb("merge", index=str, other=str, out=str, docs_per_segment=1_000_000, quiet=bool)
     verb("link", crawl=str, seeds=None, out=None, method="in-degree", damping=0.85, top=20)
@@ -62,7 +62,7 @@ def run_crawl(spark: SparkSession, a) -> str:
         pages = todo.join(web, "key")
         return pages.select("key", "depth", "host").join(html.extract(pages, "key", "url", "html"), "key").drop("canonical")
 
-    kept, refused = frontier.crawl(seeds, fetch, frontier.Settings(max_pages=a.max_pages, max_depth=a.max_depth, max_per_host=a.max_per_host, delay=a.delay))
+    kept, refused = frontier.crawl(seeds, fetch, frontier.Settings(max_pages=a.max_pages, max_depth=a.max_depth, max_per_host=a.max_per_host, delay=a.delay, near_bits=a.near_bits))
     records = kept.select(F.xxhash64("url").bitwiseAND(F.lit(2**62 - 1)).alias("crawl_doc"), "url", F.col("url").alias("final_url"), "host", F.lit(None).cast("bigint").alias("fetched_at"), F.lit(200).alias("status"), "depth", "fingerprint", "title", "text", "headings", "lang", "links", "quality", F.col("directives.snippet").alias("snippet_allowed"), F.col("directives.max_snippet").alias("max_snippet"))
     made = store.write_store(records, a.out).first()
     return f"{made.pages} pages of {made.hosts} hosts, {human_bytes(made.text_bytes or 0)} of text; refused: {dict((r.refusal, r.candidates) for r in frontier.refusals(refused).collect())}"

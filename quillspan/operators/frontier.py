@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.simhash import fingerprints
+from ..functions.simhash import MOST_DISTANCE, fingerprints
 from ..functions.text import not_blank
 from ..functions.urls import MAX_DEPTH, MAX_PER_HOST, dedupe_key, host_node, normal_url, trap
 from ..session import materialise
@@ -30,6 +30,8 @@ class Settings:
     delay: float = 3.0
     per_host_and_round: int | None = 100
     blocked: tuple[str, ...] = ()
+    #: Bits by which the fingerprint of a near copy differs at most; 0 drops exact copies only.
+    near_bits: int = MOST_DISTANCE
 
 
 def judged(candidates: DataFrame, fetched: DataFrame | None = None, seen: DataFrame | None = None, blocked: tuple[str, ...] = (), max_depth: int = MAX_DEPTH, max_per_host: int | None = MAX_PER_HOST) -> DataFrame:
@@ -76,12 +78,12 @@ def followed(pages: DataFrame, max_depth: int) -> DataFrame:
     return links.select(F.col("link.url").alias("url"), (F.col("depth") + 1).alias("depth"), F.concat_ws(" ", "at", F.col("url"), F.lpad(F.col("no").cast("string"), 6, "0")).alias("arrival")).where(F.col("depth") <= max_depth)
 
 
-def first_kept(pages: DataFrame, stored: DataFrame | None) -> DataFrame:
+def first_kept(pages: DataFrame, stored: DataFrame | None, near_bits: int = MOST_DISTANCE) -> DataFrame:
     """(arrival): the pages near no page stored before, nor near a page of their own round that is kept and arrived earlier."""
     new = pages.select("arrival", "fingerprint")
     if stored is not None:
-        new = materialise(new.join(dedupe.near_any(new, stored), "fingerprint", "left_anti"), "unlike")
-    return materialise(dedupe.keep_first(new, dedupe.hamming_pairs(new), "arrival").where("kept").select("arrival"), "kept")
+        new = materialise(new.join(dedupe.near_any(new, stored, near_bits), "fingerprint", "left_anti"), "unlike")
+    return materialise(dedupe.keep_first(new, dedupe.hamming_pairs(new, near_bits), "arrival").where("kept").select("arrival"), "kept")
 
 
 def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +112,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], settings: S
         order = now.select("key", at.alias("at"), F.concat_ws(" ", at, "arrival").alias("arrival"))
         pages = fetch(now.select("url", "depth", "host", "key", "ready")).join(order, "key")
         pages = materialise(pages.withColumn("fingerprint", fingerprints("text")), "pages")
-        kept = first_kept(pages.where(storable(pages)), stored)
+        kept = first_kept(pages.where(storable(pages)), stored, settings.near_bits)
         own = pages.join(kept, "arrival", "left_semi")
         stored = own if stored is None else stored.unionByName(own)
         n_stored += kept.count()

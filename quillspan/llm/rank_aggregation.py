@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def order_bucket(v: Column, steps: int = 4096) -> Column:
     """A bigint that never falls as v rises: exponent and leading part of the fraction, so any scale is split alike."""
@@ -44,15 +46,15 @@ def score_ranks(items: DataFrame, group: str, item: str, scores: list[str]) -> D
     """One row per (group, item): n (items of the group), and for each score s: s (null where it is no value),
     greater_s (items with a greater value; null without value) and rank_s (its place, that of items without a value last)."""
     clean = [F.min(F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double"))).alias(s) for s in scores]
-    once = items.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(*clean)
+    once = materialise(items.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(*clean), "scores")
     sizes = once.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *(F.count(s).alias(f"valued_{s}") for s in scores))
-    long = once.groupBy(group, *scores).agg(F.count(F.lit(1)).alias("c")).select(group, "c", F.explode(F.array(*(F.struct(F.lit(i).alias("score"), F.col(s).alias("v")) for i, s in enumerate(scores)))).alias("x")).select(group, "x.score", "x.v", "c").where("v is not null")
-    ranks = greater_counts(long, [group, "score"], "v", "c")
-    out = once
-    for i, s in enumerate(scores):
-        one = ranks.where(F.col("score") == i).select(group, F.col("v").alias(s), F.col("greater").alias(f"greater_{s}"))
-        out = out.join(one, [group, s], "left")
-    out = out.join(sizes, group)
+    # All scores go through one plan as rows (group, score, value), and come back side by side at its end.
+    values = F.explode(F.array(*(F.struct(F.lit(i).alias("score"), F.col(s).alias("v")) for i, s in enumerate(scores))))
+    long = once.select(group, item, values.alias("x")).select(group, item, "x.score", "x.v").where("v is not null")
+    counted = long.groupBy(group, "score", "v").agg(F.count(F.lit(1)).alias("c"))
+    placed = long.join(greater_counts(counted, [group, "score"], "v", "c"), [group, "score", "v"])
+    wide = placed.groupBy(group, item).agg(*(F.max(F.when(F.col("score") == i, F.col("greater"))).alias(f"greater_{s}") for i, s in enumerate(scores)))
+    out = once.join(wide, [group, item], "left").join(sizes, group)
     return out.select(group, item, "n", *scores, *(f"greater_{s}" for s in scores), *(F.coalesce(F.col(f"greater_{s}") + 1, F.col(f"valued_{s}") + 1).alias(f"rank_{s}") for s in scores))
 
 

@@ -155,10 +155,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = now.num_rows
         if not n:
             continue
-        last = (now.column(0)[n - 1].as_py(), now.column(1)[n - 1].as_py())
-        cut = n - 1
-        while cut > 0 and (now.column(0)[cut - 1].as_py(), now.column(1)[cut - 1].as_py()) == last:
-            cut -= 1
+        code = now.column(0).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        block = now.column(1).to_numpy()
+        # Where the last group begins; it may go on in the next batch.
+        cut = int(n - 1 - np.argmin(np.r_[((code == code[-1]) & (block == block[-1]))[::-1], False])) + 1
         if cut:
             yield merged(now.slice(0, cut))
         rest = now.slice(cut)

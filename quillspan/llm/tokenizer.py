@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +157,16 @@ class Encoder:
         return self.ids[source], text_starts, spans
 
 
+def _local(path: str) -> str:
+    """The vocabulary file as a worker finds it: at its path, or as it was sent."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+def _sent(df: DataFrame, path: str) -> None:
+    """Workers that do not see the driver's disk get the file with the job."""
+    df.sparkSession.sparkContext.addFile(path)
+
+
 @cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -163,7 +174,7 @@ def encoder(path: str) -> Encoder:
 
 def _encode(path: str, offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(_local(path))
         for batch in batches:
             key, texts = batch.column(0), batch.column(1)
             for a, z in cp.slices(texts):
@@ -179,6 +190,7 @@ def _encode(path: str, offsets: bool):
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str = DEFAULT_PATH, offsets: bool = False) -> DataFrame:
     """(id, ids[, starts, ends]): one row for every row of df, whatever its text."""
+    _sent(df, path)
     schema = "id bigint, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode(path, offsets), schema)
 
@@ -206,14 +218,26 @@ def token_bytes(path: str) -> list[bytes]:
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
+        table = [*token_bytes(_local(path)), b"\xff"]
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in table])])
+        data = np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
-            texts = [None if ids is None else b"".join(table[i] if i is not None and 0 <= i < len(table) else b"\xff" for i in ids).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+            rows = pa.concat_arrays([batch.column(1).fill_null([])])
+            ids = rows.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = np.where((ids >= 0) & (ids < len(table) - 1), ids, len(table) - 1)
+            # Bytes of all tokens one after another, gathered from one table; only whole texts are handled singly.
+            size = bounds[known + 1] - bounds[known]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            flat = data[np.repeat(bounds[known] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+            cuts = ends[rows.offsets.to_numpy() - rows.offsets[0].as_py()]
+            texts = [flat[x:y].decode("utf-8", "replace") for x, y in zip(cuts[:-1], cuts[1:])]
+            nulls = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if gone else t for t, gone in zip(texts, nulls)], pa.string())], names=["id", "text"])
 
     return run
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, path: str = DEFAULT_PATH) -> DataFrame:
     """(id, text). Null ids give null; an id outside the vocabulary gives U+FFFD."""
+    _sent(df, path)
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(_decode(path), "id bigint, text string")

@@ -6,15 +6,19 @@ union, so answers never depend on how documents were cut into segments.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hosts import plain_host
-from ..functions.text import FIELD_GAP, FIELDS, not_blank, raw_words, thousandths, useful, without_scheme
+from ..functions.text import FIELD_GAP, FIELDS, MAX_NUMBER_BYTES, MAX_TERM_BYTES, not_blank, raw_words, thousandths, useful, without_scheme
 from ..functions.urls import host_raw
-from ..session import drop_materialised, materialise, table
+from ..session import materialise, table
 from .anchors import anchor_texts
 
 FORMAT_VERSION = 1
@@ -31,12 +35,16 @@ class Index:
     def stored(self) -> Index:
         """The index written to the shared folder, postings in the order of their terms, so that a
         filter on terms reads only the row groups that hold them."""
-        made = materialise(self.postings, "postings")
-        by_term = materialise(made.repartitionByRange("term").sortWithinPartitions("term", "crawl_doc"), "by-term")
-        drop_materialised(made)
+        by_term = materialise(in_order(self.postings), "postings")
         return Index(by_term, materialise(dictionary(by_term), "dictionary"), self.doc_table, materialise(self.stats, "stats"))
 
 
+def in_order(postings_: DataFrame) -> DataFrame:
+    """Postings in the order of terms within each part. A term's documents are spread over the parts by ranges of ids, so
+    one in a third of all documents makes no part larger than others. This is the one shuffle of an index build's postings."""
+    return postings_.repartition(F.col("term"), F.floor(F.col("crawl_doc") / 65536)).sortWithinPartitions("term", "crawl_doc")
+
+
 def crawl_docs(records: DataFrame) -> DataFrame:
     """One row per crawl_doc, late and repeated rows merged; blank texts stay in (link sources) until indexing."""
     return records.where("crawl_doc is not null").dropDuplicates(["crawl_doc"])
@@ -61,14 +69,15 @@ def segments(docs: DataFrame, per_segment: int = DOCS_PER_SEGMENT) -> DataFrame:
 
 
 def worded(kept: DataFrame, columns: dict) -> DataFrame:
-    """Adds len_<field>, base_<field> and fields: per document, the words of each field with the place where the
-    field begins. Fields share one space of positions, with a gap between; a field's length ends with its last
+    """Adds len_<field>, base_<field>, the words of all fields one after another, their number in each field and the place
+    where each begins. Fields share one space of positions, with a gap between; a field's length ends with its last
     surviving word. All of it is worked out within the row."""
     slow = lambda words: F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(useful(w), i + 1))), F.lit(0))
     last = lambda words: F.when(F.size(words) == 0, F.lit(0)).when(useful(F.element_at(words, -1)), F.size(words)).otherwise(slow(words))
     out = kept.withColumns({f"w_{f}": raw_words(c) for f, c in columns.items()})
     out = out.withColumns({f"len_{f}": last(F.col(f"w_{f}")) for f in columns})
-    return bases(out).withColumn("fields", F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"base_{f}").alias("base"), F.col(f"w_{f}").alias("words")) for i, f in enumerate(columns)))).drop(*(f"w_{f}" for f in columns))
+    sizes, starts = F.array(*(F.size(f"w_{f}") for f in columns)), F.array(*(F.col(f"base_{f}") for f in columns))
+    return bases(out).withColumns({"words": F.concat(*(f"w_{f}" for f in columns)), "sizes": sizes, "bases": starts}).drop(*(f"w_{f}" for f in columns))
 
 
 def build(records: DataFrame, anchors: bool = True, per_segment: int = DOCS_PER_SEGMENT) -> Index:
@@ -93,15 +102,39 @@ def bases(lengths: DataFrame) -> DataFrame:
     return lengths
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (crawl_doc, words, sizes, bases) -> the postings of each document, from the words of all documents of a batch at once."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words, ids = batch.column(1).flatten(), batch.column(0).to_numpy()
+        sizes, starts = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (2, 3))
+        cell = np.repeat(np.arange(len(sizes)), sizes)
+        position = starts[cell] + np.arange(len(cell)) - (np.cumsum(sizes) - sizes)[cell]
+        length = pc.binary_length(words).to_numpy()
+        kept = np.flatnonzero(length <= MAX_TERM_BYTES)
+        long = kept[length[kept] > MAX_NUMBER_BYTES]
+        numbers = long[pc.match_substring_regex(words.take(pa.array(long)), "^[0-9]+$").to_numpy(zero_copy_only=False)]
+        kept = np.setdiff1d(kept, numbers, assume_unique=True)
+        coded = words.take(pa.array(kept)).dictionary_encode()
+        code, cell, position = coded.indices.to_numpy().astype(np.int64), cell[kept], position[kept]
+        doc, field = cell // len(FIELDS), cell % len(FIELDS)
+        key = doc * max(len(coded.dictionary), 1) + code
+        # Positions rise through a document, and a stable sort keeps them in order.
+        order = np.argsort(key, kind="stable")
+        if not len(order):
+            continue
+        head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        counts = [pa.array(np.add.reduceat(field[order] == i, head, dtype=np.int32)) for i in range(len(FIELDS))]
+        places = pa.ListArray.from_arrays(pa.array(np.r_[head, len(order)].astype(np.int32)), pa.array(position[order].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[order][head])), pa.array(ids[doc[order][head]]), *counts, places], names=["term", "crawl_doc", *(f"c_{f}" for f in FIELDS), "positions"])
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(term, crawl_doc, c_<field> ..., positions): counts by field and sorted positions. A document's words all
-    come from its own row, so where documents are partitioned by id this needs no shuffle."""
-    # Outer generators: the inner ones would be given a filter on the size of the array, and with it all words made twice.
-    each = docs.select("crawl_doc", F.explode_outer("fields").alias("f")).select("crawl_doc", "f.field", "f.base", F.posexplode_outer("f.words").alias("at", "term"))
-    placed = each.where(F.col("term").isNotNull() & useful(F.col("term"))).select("crawl_doc", "term", "field", (F.col("base") + F.col("at")).alias("position"))
-    counts = [F.sum(F.when(F.col("field") == i, 1).otherwise(0)).cast("int").alias(f"c_{f}") for i, f in enumerate(FIELDS)]
-    found = placed.groupBy("crawl_doc", "term").agg(*counts, F.array_sort(F.collect_list("position")).alias("positions"))
-    return found.select("term", "crawl_doc", *(f"c_{f}" for f in FIELDS), "positions")
+    come from its own row, so this needs no shuffle of tokens."""
+    schema = f"term string, crawl_doc bigint, {', '.join(f'c_{f} int' for f in FIELDS)}, positions array<int>"
+    return docs.select(F.col("crawl_doc").cast("bigint"), "words", "sizes", "bases").mapInArrow(_gathered, schema)
 
 
 def dictionary(postings_: DataFrame) -> DataFrame:
@@ -126,7 +159,7 @@ def write(index: Index, path: str) -> None:
     for name in ("postings", "dictionary", "doc_table", "stats"):
         df = getattr(index, name)
         if name == "postings":
-            df = df.repartitionByRange("term").sortWithinPartitions("term", "crawl_doc")
+            df = in_order(df)
         if name == "stats":
             df = df.withColumn("format_version", F.lit(FORMAT_VERSION))
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")

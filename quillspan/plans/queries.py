@@ -89,37 +89,43 @@ def index_totals(spark, sf_dir):
     return index.totals(index.of_tables(spark, sf_dir))
 
 
+def _gaps(spark, sf_dir) -> DataFrame:
+    """(term, part, crawl_doc, gap): gaps between the documents of each term. A term's list is cut into parts by ranges of ids,
+    so no task sorts all documents of a common term; a part's first gap begins at the last document of the part before."""
+    p = index.of_tables(spark, sf_dir).postings.select("term", "crawl_doc", F.floor(F.col("crawl_doc") / 65536).alias("part"))
+    ends = p.groupBy("term", "part").agg(F.max("crawl_doc").alias("last"))
+    before = ends.select("term", "part", F.coalesce(F.lag("last").over(Window.partitionBy("term").orderBy("part")), F.lit(0)).alias("before"))
+    previous = F.lag("crawl_doc").over(Window.partitionBy("term", "part").orderBy("crawl_doc"))
+    return p.withColumn("previous", previous).join(before, ["term", "part"]).select("term", "part", "crawl_doc", (F.col("crawl_doc") - F.coalesce("previous", "before")).alias("gap"))
+
+
 def position_gaps(spark, sf_dir):
     """Per term: gaps between its documents and the bits they need, whole and by the widest."""
-    p = index.of_tables(spark, sf_dir).postings
-    gap = F.col("crawl_doc") - F.coalesce(F.lag("crawl_doc").over(Window.partitionBy("term").orderBy("crawl_doc")), F.lit(0))
     bits = F.when(F.col("gap") > 0, F.floor(F.log2("gap")) + 1).otherwise(0)
-    return p.select("term", gap.alias("gap")).withColumn("bits", bits).groupBy("term").agg(F.count(F.lit(1)).alias("gaps"), F.sum("bits").cast("bigint").alias("bits"), F.max("bits").cast("bigint").alias("widest"))
+    return _gaps(spark, sf_dir).withColumn("bits", bits).groupBy("term").agg(F.count(F.lit(1)).alias("gaps"), F.sum("bits").cast("bigint").alias("bits"), F.max("bits").cast("bigint").alias("widest"))
 
 
 def codec_sizes(spark, sf_dir):
-    """Bytes of all document gaps in each codec; a list of one term is coded where it lies."""
-    p = index.of_tables(spark, sf_dir).postings.select("term", "crawl_doc").repartition("term").sortWithinPartitions("term", "crawl_doc")
+    """Bytes of all document gaps in each codec. The parts of a term's list are coded apart, in blocks."""
+    p = _gaps(spark, sf_dir).repartition("term", "part").sortWithinPartitions("term", "part", "crawl_doc").select("term", "part", "gap")
 
     def run(frames):
         import pandas as pd
 
-        sums, values, last = dict.fromkeys(codecs.CODECS, 0), 0, None
-        chunk: list[int] = []
-        before = 0
+        sums, values, chunk, of = dict.fromkeys(codecs.CODECS, 0), 0, [], None
+
+        def coded():
+            for name, (enc, _) in codecs.CODECS.items():
+                sums[name] += len(enc(chunk)) if chunk else 0
+
         for f in frames:
-            for t, d in zip(f["term"], f["crawl_doc"]):
-                if t != last or len(chunk) >= codecs.BLOCK:
-                    for name, (enc, _) in codecs.CODECS.items():
-                        sums[name] += len(enc(chunk)) if chunk else 0
+            for t, part, gap in zip(f["term"], f["part"], f["gap"].tolist()):
+                if (t, part) != of or len(chunk) >= codecs.BLOCK:
+                    coded()
                     values += len(chunk)
-                    chunk = []
-                if t != last:
-                    before, last = 0, t
-                chunk.append(int(d) - before)
-                before = int(d)
-        for name, (enc, _) in codecs.CODECS.items():
-            sums[name] += len(enc(chunk)) if chunk else 0
+                    chunk, of = [], (t, part)
+                chunk.append(gap)
+        coded()
         yield pd.DataFrame({"codec": list(sums), "bytes": list(sums.values()), "gaps": values + len(chunk)})
 
     return p.mapInPandas(run, "codec string, bytes bigint, gaps bigint").groupBy("codec").agg(F.sum("bytes").alias("bytes"), F.sum("gaps").alias("gaps"))

@@ -126,33 +126,47 @@ def article_text(node: Node) -> str:
     return squeeze("".join(out))
 
 
-def linked_words(node: Node) -> int:
-    return sum(len(n.text().split()) for n in node.walk() if n.tag == "a" and "href" in n.attrs)
-
-
 def is_candidate(n: Node) -> bool:
     return n.tag in CANDIDATES or n.attrs.get("role") == "main"
 
 
+def tallies(root: Node) -> dict[int, tuple[int, int, int]]:
+    """By id of each node: words of its article text, words in links, candidates inside. All three are sums over the
+    children, so one pass from the leaves up is enough, however deeply elements are nested."""
+    out: dict[int, tuple[int, int, int]] = {}
+    for n in reversed(list(root.walk())):
+        words = inside = 0
+        linked = len(n.text().split()) if n.tag == "a" and "href" in n.attrs else 0
+        for c in n.children:
+            if isinstance(c, str):
+                words += len(c.split())
+                continue
+            own = out[id(c)]
+            if c.tag not in CUT_TAGS and not furniture(c):
+                words += own[0]
+            linked, inside = linked + own[1], inside + own[2] + is_candidate(c)
+        out[id(n)] = words, linked, inside
+    return out
+
+
 def article(root: Node) -> tuple[str, float]:
     """Text and link density of the best candidate: many words, few of them linked, few candidates inside; else of the body."""
     best, chosen = None, None
+    counts = tallies(root)
     for n in root.walk():
         if not is_candidate(n) or furniture(n):
             continue
-        count = len(article_text(n).split())
-        if count < LEAST_WORDS:
+        words, linked, inside = counts[id(n)]
+        if words < LEAST_WORDS:
             continue
-        density = min(linked_words(n), count) / count
-        score = count * (1 - density) - CANDIDATE_COST * sum(map(is_candidate, [x for x in n.walk() if x is not n]))
+        score = words * (1 - min(linked, words) / words) - CANDIDATE_COST * inside
         if best is None or score > best:
             best, chosen = score, n
     chosen = chosen or next((n for n in root.walk() if n.tag == "body"), root if not any(n.tag == "html" for n in root.walk()) else None)
     if chosen is None:
         return "", 0.0
-    text = article_text(chosen)
-    count = len(text.split())
-    return text, min(linked_words(chosen), count) / count if count else 0.0
+    words, linked, _ = counts[id(chosen)]
+    return article_text(chosen), min(linked, words) / words if words else 0.0
 
 
 def directives(contents: list[str]) -> dict:

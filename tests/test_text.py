@@ -136,3 +136,36 @@ def test_decoding_bodies():
     assert store.decode("é".encode("latin-1"), "text/html; charset=ISO-8859-1") == "é" and store.decode(b'<meta charset="windows-1252">\x80') == '<meta charset="windows-1252">€'
     assert store.decode("é".encode()) == "é" and store.decode(b"\xef\xbb\xbfx") == "x" and store.decode(None) is None
     assert text.human_bytes(512) == "512 B" and text.human_bytes(2048) == "2.0 KiB"
+
+
+def test_tallies_of_deep_nesting_equal_those_of_each_element_alone():
+    import time
+
+    page = "<body>" + "<div>two words" * 40 + "<a href=x>a link here</a><div class='nav'>menu</div>" + "</div>" * 40
+    root = html.tree(page)
+    counts = html.tallies(root)
+    for n in root.walk():
+        inner = [x for x in n.walk() if x is not n]
+        links = sum(len(x.text().split()) for x in [n, *inner] if x.tag == "a" and "href" in x.attrs)
+        assert counts[id(n)] == (len(html.article_text(n).split()), links, sum(map(html.is_candidate, inner)))
+    began = time.time()
+    html.article(html.tree("<body>" + "<div>two words" * 4000))
+    assert time.time() - began < 5
+
+
+def test_densest_stretch_equals_brute_force():
+    import random
+
+    from quillspan.functions.snippets import densest
+
+    r = random.Random(3)
+    for _ in range(200):
+        found, at = [], 0
+        for _ in range(r.randint(1, 12)):
+            at += r.randint(0, 30)
+            found.append((at, at + 3, r.choice("abc")))
+            at += 3
+        size, budget = at + r.randint(0, 40), r.randint(5, 60)
+        spans = [(max(0, s - budget // 4), min(max(0, s - budget // 4) + budget, size)) for s, _, _ in found]
+        shown = [len({t for s, e, t in found if s >= a and e <= z}) for a, z in spans]
+        assert densest(found, size, budget) == spans[shown.index(max(shown))]

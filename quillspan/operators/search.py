@@ -64,10 +64,11 @@ class Batch:
         return self.parts.where(F.col("kind").isin(*kinds))
 
 
-def batch_of(index: Index, parts: DataFrame, most_parts: int = MOST_PARTS) -> Batch:
+def batch_of(index: Index, parts: DataFrame, most_parts: int | None = None) -> Batch:
     """Queries of which a term stands nowhere ask for nothing; they are left out before the postings are read."""
-    rows = parts.select("query_id", "kind", "part", "place", "term").limit(most_parts + 1).collect()
-    if len(rows) > most_parts:
+    most = MOST_PARTS if most_parts is None else most_parts
+    rows = parts.select("query_id", "kind", "part", "place", "term").limit(most + 1).collect()
+    if len(rows) > most:
         return _large_batch(index, parts.distinct())
     rows = list(dict.fromkeys(rows))
     words = sorted({r.term for r in rows if r.kind != "site"})
@@ -83,7 +84,7 @@ def batch_of(index: Index, parts: DataFrame, most_parts: int = MOST_PARTS) -> Ba
     columns = {"query_id": pa.int64(), "kind": pa.string(), "part": pa.int32(), "place": pa.int32(), "term": pa.string()}
     data = {c: pa.array([r[c] for r in kept], t) for c, t in columns.items()}
     data |= {"n": pa.array([len(needed[r.query_id]) for r in kept], pa.int64()), "df": pa.array([df[r.term] for r in kept], pa.int64()), "site": pa.array([sites.get(r.query_id) for r in kept], pa.string())}
-    # At most most_parts rows.
+    # At most as many rows as a batch may have parts.
     known = F.broadcast(parts.sparkSession.createDataFrame(pa.table(data)))
     chosen = index.postings.where(F.col("term").isin(sorted({r.term for r in kept})))
     return Batch(known, chosen, frozenset(r.kind for r in kept), any(len(needed[q]) > 1 for q in alive))

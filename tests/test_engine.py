@@ -56,6 +56,29 @@ def test_parts_add_up(spark, five):
         assert e.text_relevance == pytest.approx(sum(t.contribution for t in e.terms)) and r.matched == 4
 
 
+def test_search_reads_the_postings_of_its_terms_once_for_counts_and_once_for_positions(spark, five):
+    for text, term in (("clay tablets", "In(term"), ("clay", "EqualTo(term,clay)")):
+        plan = search.search(five, query.literal(spark, {1: text}), search.Options())._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.splitlines() if "FileScan parquet" in x and "/postings-" in x and "c_body" in x or "FileScan parquet" in x and "/postings-" in x and "positions" in x]
+        assert len(scans) == (2 if " " in text else 1) and all(term in x for x in scans)
+
+
+def test_large_batches_are_joined_and_give_the_same(spark, five, monkeypatch):
+    texts = {1: "clay tablets", 2: '"clay tablets"', 3: "clay -tablets", 4: 'clay -"clay tablets"', 5: "clay site:a.test", 6: "zebra clay", 7: "-clay", 8: "clay clay", 9: 'clay -"clay zebra"', 10: "kiln"}
+    run = lambda: sorted(map(str, search.search(five, query.literal(spark, texts), search.Options()).collect()))
+    small = run()
+    monkeypatch.setattr(search, "MOST_PARTS", 0)
+    assert run() == small and small
+
+
+def test_postings_of_long_and_odd_words(spark):
+    text = "Ünïcode x" + "y" * 40 + " 1234567890123 123456789012 日本語 " + "w " * 3000
+    ix = index.build(records(spark, [record(1, "http://a.test/1", text, title="w"), record(2, "http://a.test/2", None), record(70_000, "http://b.test/3", "w")]))
+    got = {(r.term, r.crawl_doc): (r.c_body, r.c_title, r.positions) for r in ix.postings.collect()}
+    assert {t for t, d in got if d == 1} >= {"ünïcode", "123456789012", "日本語", "w"} and not {t for t, _ in got if len(t) > 30 or t == "1234567890123"}
+    assert got["w", 1][:2] == (3000, 1) and got["w", 1][2] == sorted(got["w", 1][2]) and got["w", 1][2][0] == 5 and got["w", 70_000] == (1, 0, [0])
+
+
 def test_span_vectors(spark):
     cases = {1: ([0, 100], [95, 300], 5), 2: ([10], [11], 1), 3: ([1, 50], [51], 1), 4: ([5], [], None)}
     postings = [(f"t{k}{i}", k, p) for k, c in cases.items() for i, p in enumerate(c[:2]) if p]

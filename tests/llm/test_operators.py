@@ -346,7 +346,8 @@ def test_repeated_lines_equal_brute_force_and_texts_lose_them(spark):
 def test_lines_of_every_source_are_widespread_and_others_need_excess(spark):
     """A line that fills all sources alike shows no excess; a line of one source does. Cleaning leaves the rest in place."""
     r = random.Random(11)
-    data = [(h * 100 + i, f"h{h}", f"{prose(r, 8)}\nSubscribe to our letter\n{prose(r, 9)}" + ("\nOnly here we say this" if h == 3 else "")) for h in range(6) for i in range(20)]
+    own = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(5))
+    data = [(h * 100 + i, f"h{h}", f"{own()}\nSubscribe to our letter\n{own()}" + ("\nOnly here we say this" if h == 3 else "")) for h in range(6) for i in range(20)]
     df = spark.createDataFrame(data, "id bigint, host string, text string")
     tests = repeated_lines.tested_lines(df, "id", F.col("host"), "text")
     paths = {(x.source, x.n_in + x.n_out): x.path for x in repeated_lines.chosen_wordings(tests).join(tests, ["source", "h1", "h2"]).collect()}
@@ -365,10 +366,10 @@ def test_significance_decides_the_lines(spark):
 
 def test_clean_texts_of_odd_rows(spark):
     line = "This line comes back on every page"
-    data = [(i, "a", f"{line}\nown {i} words of this page\n\n{line}") for i in range(8)] + [(20, "a", line), (21, "a", None), (22, "a", ""), (0, "a", f"{line}\nown 0 words of this page\n\n{line}"), (None, "a", line)]
+    data = [(i, "a", f"{line}\n{'abcdefgh'[i] * 4} words of this page\n\n{line}") for i in range(8)] + [(20, "a", line), (21, "a", None), (22, "a", ""), (0, "a", f"{line}\naaaa words of this page\n\n{line}"), (None, "a", line)]
     df = spark.createDataFrame(data, "id bigint, host string, text string")
     got = dict(rows(repeated_lines.clean_texts(df, "id", F.col("host"), "text")))
-    assert got == {**{i: f"own {i} words of this page\n" for i in range(8)}, 20: "", 21: None, 22: ""}
+    assert got == {**{i: f"{'abcdefgh'[i] * 4} words of this page\n" for i in range(8)}, 20: "", 21: None, 22: ""}
 
 
 def test_log_likelihood_and_tail(spark):

@@ -87,6 +87,17 @@ def allowed(agent: str):
     return run
 
 
+def delays(agent: str):
+    """Seconds that the group for an agent asks to wait between requests, 0 where it asks for none."""
+
+    @F.pandas_udf("double")
+    def run(bodies: pd.Series) -> pd.Series:
+        known = {b: (group_for(parse(b), agent) or {}).get("delay") or 0.0 for b in bodies.dropna().unique()}
+        return bodies.map(known).fillna(0.0).astype(float)
+
+    return run
+
+
 def verdict(status: Column) -> Column:
     """What a robots.txt answer means: its rules, everything open, or everything closed."""
     return F.when(status.between(200, 299), "rules").when(status.isin(401, 403), "closed").when(status.between(400, 499), "open").otherwise("closed")

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.robots import allowed, delays, verdict
 from ..functions.simhash import MOST_DISTANCE, fingerprints
 from ..functions.text import not_blank
-from ..functions.urls import MAX_DEPTH, MAX_PER_HOST, dedupe_key, host_node, normal_url, trap
+from ..functions.urls import MAX_DEPTH, MAX_PER_HOST, dedupe_key, host_node, normal_url, path_of, trap
 from ..session import materialise
 from . import dedupe
 
@@ -57,14 +58,26 @@ def within_quota(rows: DataFrame, max_per_host: int | None) -> DataFrame:
     return rows.withColumn("place", place).withColumn("refusal", F.when(over, "host quota").otherwise(F.col("refusal"))).drop("place")
 
 
+def obeying(rows: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """Refuses what robots.txt of the host forbids, and adds wait, the seconds it asks to keep between requests. robots: (host,
+    status, body), one answer per host; a host without one is open, one that did not answer properly is closed."""
+    known = robots.groupBy(host_node(F.concat(F.lit("http://"), F.col("host"))).alias("host")).agg(F.min(F.struct("status", "body")).alias("answer"))
+    means, body = verdict(F.col("answer.status")), F.col("answer.body")
+    rules = F.when(means == "rules", F.coalesce(body, F.lit("")))
+    met = rows.join(known, "host", "left").withColumn("means", F.when(F.col("answer").isNotNull(), means)).withColumn("rules", rules)
+    met = met.withColumn("free", allowed(agent)("rules", path_of(F.col("normal")))).withColumn("wait", delays(agent)("rules"))
+    forbidden = F.col("refusal").isNull() & ((F.coalesce("means", F.lit("open")) == "closed") | ~F.col("free"))
+    return met.withColumn("refusal", F.when(forbidden, "robots").otherwise(F.col("refusal"))).drop("answer", "means", "rules", "free")
+
+
 def refusals(rows: DataFrame) -> DataFrame:
     return rows.where("refusal is not null").groupBy("refusal").agg(F.count(F.lit(1)).alias("candidates"))
 
 
-def schedule(admitted: DataFrame, delay: float) -> DataFrame:
+def schedule(admitted: DataFrame, delay: float | Column) -> DataFrame:
     """Adds turn and ready: a host's n-th address waits n - 1 delays, in order of arrival."""
     turn = F.row_number().over(Window.partitionBy("host").orderBy("arrival"))
-    return admitted.withColumn("turn", turn).withColumn("ready", (F.col("turn") - 1) * F.lit(delay))
+    return admitted.withColumn("turn", turn).withColumn("ready", (F.col("turn") - 1) * (F.lit(delay) if isinstance(delay, (int, float)) else delay))
 
 
 def storable(pages: DataFrame) -> Column:
@@ -86,8 +99,8 @@ def first_kept(pages: DataFrame, stored: DataFrame | None, near_bits: int = MOST
     return materialise(dedupe.keep_first(new, dedupe.hamming_pairs(new, near_bits), "arrival").where("kept").select("arrival"), "kept")
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(records, refused). ``fetch`` takes (url, depth, host, key, ready) and returns pages (url, depth, host, key, title,
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], settings: Settings = Settings(), robots: DataFrame | None = None, agent: str = "quillspan") -> tuple[DataFrame, DataFrame]:
+    """(records, refused). robots: see :func:`obeying`. ``fetch`` takes (url, depth, host, key, ready) and returns pages (url, depth, host, key, title,
     text, headings, links, directives ...); where a page failed or is robbed of access it gives no row. ready is the second
     of the crawl before which the address must not be read. Rounds end when no address waits, or once max_pages are stored:
     the first by arrival. Exact copies and near copies are kept once, by first arrival; their links are followed."""
@@ -96,12 +109,13 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], settings: S
     n_stored, n_round, start = 0, 0, 0.0
     while True:
         rows = judged(todo, seen, seen, settings.blocked, settings.max_depth, settings.max_per_host)
+        rows = obeying(rows, robots, agent) if robots is not None else rows.withColumn("wait", F.lit(0.0))
         rows = materialise(within_quota(rows, settings.max_per_host), "round")
         bad = rows.where("refusal is not null").select("url", "refusal")
         refused = bad if refused is None else refused.union(bad)
-        new = rows.where("refusal is null").select(F.col("normal").alias("url"), "depth", "host", "key", F.concat_ws(" ", F.lit(f"{n_round:06d}"), "arrival").alias("arrival"))
+        new = rows.where("refusal is null").select(F.col("normal").alias("url"), "depth", "host", "key", "wait", F.concat_ws(" ", F.lit(f"{n_round:06d}"), "arrival").alias("arrival"))
         seen = new.select("key", "host") if seen is None else seen.union(new.select("key", "host"))
-        queue = materialise(schedule(new if waiting is None else waiting.unionByName(new), settings.delay), "queue")
+        queue = materialise(schedule(new if waiting is None else waiting.unionByName(new), F.greatest(F.lit(settings.delay), F.col("wait"))), "queue")
         now = queue if settings.per_host_and_round is None else queue.where(F.col("turn") <= settings.per_host_and_round)
         last = now.agg(F.max("ready")).first()[0]
         if last is None:
@@ -120,7 +134,7 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], settings: S
             stored = stored.orderBy("arrival").limit(settings.max_pages)
             break
         todo = followed(pages, settings.max_depth)
-        n_round, start = n_round + 1, start + last + settings.delay
+        n_round, start = n_round + 1, start + last + max(settings.delay, now.agg(F.max("wait")).first()[0])
     return stored, refused
 
 

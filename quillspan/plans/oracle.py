@@ -168,6 +168,12 @@ def oracle_sql() -> dict[str, str]:
         "trap_reasons": f"with {DOCS}, l as (select distinct unnest(links).url as url, depth + 1 as depth from docs), a as (select * from l where regexp_matches(url, '^(?i:https?)://') and {RAW_HOST.format('url')} <> '' and octet_length(encode(url)) <= 2048) select coalesce({TRAP.format('url')}, 'none') as reason, count(*) as links from a group by 1",
         "frontier_admission": f"with {NORMAL}, own as (select distinct {KEY.format('normal')} as key from normed), li as (select crawl_doc, depth + 1 as depth, unnest(range(0, len(links))) as no, unnest(links).url as url, coalesce(unnest(links).nofollow, false) as nofollow from docs), c as (select crawl_doc, depth, no, url from li where not nofollow), {_normal('c', 'cn')}, k as (select *, {KEY.format('normal')} as key from cn), t as (select *, row_number() over (partition by key order by crawl_doc, no) as twin from k) select case when normal is null then 'inadmissible' when key in (select key from own where key is not null) or twin > 1 then 'seen' else coalesce({TRAP.format('normal')}, 'admitted') end as outcome, count(*) as candidates from t group by 1",
         "robots_verdicts": f"with {DOCS}, p as (select crawl_doc, coalesce(nullif({PATH.format('url')}, ''), '/') as path from docs) select crawl_doc, case when regexp_matches(path, '^/archive/.*-5') then true when regexp_matches(path, '^/archive/') then false when regexp_matches(path, '^/.*\\.html$') then false else true end as allowed from p",
+        "robots_by_host": f"""with {NORMAL}, k as (select *, {KEY.format('normal')} as key, {NODE.format('normal')} as host, coalesce(nullif({PATH.format('normal')}, ''), '/') as path from normed),
+t as (select *, row_number() over (partition by key order by crawl_doc) as twin from k),
+a as (select distinct regexp_replace(host, '^www\\.', '') as host, length(host) % 5 as kind from host_scores),
+r as (select t.*, kind, case when normal is null then 'inadmissible' when twin > 1 then 'seen' else {TRAP.format('normal')} end as refusal from t left join a on a.host = t.host)
+select case when refusal is not null then refusal when kind in (1, 2) then 'robots' when kind = 3 and regexp_matches(path, '^/archive/') and not regexp_matches(path, '^/archive/.*-5') then 'robots' when kind = 4 and regexp_matches(path, '^/.*\\.html$') then 'robots' else 'admitted' end as outcome,
+  case when kind = 3 then 7.0 else 0.0 end::double as wait, count(*) as addresses from r group by 1, 2""",
         "kept_pages": f"""with recursive {DOCS}, f as (select fingerprint as f, min(crawl_doc) as arrival, row_number() over (order by min(crawl_doc)) as i from docs where fingerprint is not null and fingerprint <> 0 group by 1),
 k as (select 0::bigint as i, []::bigint[] as held union all select f.i, case when len(list_filter(held, lambda x: bit_count(xor(x, f.f)) <= 6)) > 0 then held else list_append(held, f.f) end from k join f on f.i = k.i + 1),
 h as (select unnest(held) as f from (select held from k order by i desc limit 1))

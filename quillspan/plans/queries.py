@@ -242,6 +242,18 @@ def robots_verdicts(spark, sf_dir):
     return d.select("crawl_doc", robots.allowed("quillspan")(F.lit(body), "path").alias("allowed"))
 
 
+def robots_by_host(spark, sf_dir):
+    """Addresses that are admissible by themselves, by what the robots answers of their hosts make of them. The answers are made up
+    from the length of a host's name: none, refused, failing, or one of two sets of rules."""
+    kind = F.length("host") % 5
+    status = F.when(kind == 0, 404).when(kind == 1, 403).when(kind == 2, 503).otherwise(200)
+    body = F.when(kind == 3, "User-agent: *\nDisallow: /archive/\nAllow: /archive/*-5\nCrawl-delay: 7").when(kind == 4, "User-agent: other\nDisallow: /\n\nUser-agent: quillspan\nDisallow: /*.html$")
+    table_ = table(spark, sf_dir, "host_scores").select("host", status.alias("status"), body.alias("body"))
+    rows = frontier.judged(docs_of(spark, sf_dir).select("url", "depth", F.lpad(F.col("crawl_doc").cast("string"), 20, "0").alias("arrival")))
+    kept = frontier.obeying(rows, table_, "quillspan")
+    return kept.groupBy(F.coalesce("refusal", F.lit("admitted")).alias("outcome"), "wait").agg(F.count(F.lit(1)).alias("addresses"))
+
+
 def domain_survey(spark, sf_dir):
     d = docs_of(spark, sf_dir).select(F.regexp_extract(urls.host_node(F.col("url")), r"([^.]+)$", 1).alias("area"), "status", "text", F.col("quality.words").alias("words"))
     return store.survey(d.withColumn("outcome", store.probe_outcome(F.col("status"), F.col("text"), F.lit(None).cast("string"))), "area")
@@ -462,7 +474,7 @@ def _is_folder(spark, path: str) -> bool:
 
 def queries() -> dict[str, Run]:
     own = [tokens, field_length, postings, dictionary, corpus_stats, host_table, doc_table, segment_ids, merged_dictionary, index_totals, position_gaps, codec_sizes, front_coding, size_report, store_summary, point_lookup, blank_texts]
-    own += [url_hosts, url_tokens, url_keys, trap_reasons, registrable_domains, frontier_admission, politeness, extract_pages, crawl_rounds, robots_verdicts, domain_survey]
+    own += [url_hosts, url_tokens, url_keys, trap_reasons, registrable_domains, frontier_admission, politeness, extract_pages, crawl_rounds, robots_verdicts, robots_by_host, domain_survey]
     own += [search_rescored, score_explain, term_explain, proximity_spans, judged_search, search_snippets, host_edges, link_drop_report, in_degree_authority, trustrank_k10, authority_table, rank_correlation, top_hosts, anchor_text, anchor_report]
     own += [exact_duplicates, fingerprints, hamming_pairs, kept_pages, query_metrics, eval_summary, paired_differences, randomisation_test, ablation, stream_windows, stream_segments]
     return {n: _search(n) for n in SEARCHES} | {f.__name__: f for f in own}

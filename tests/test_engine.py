@@ -237,6 +237,20 @@ def test_crawl_of_a_hot_host(spark):
     assert sorted(x.url for x in first.collect()) == ["http://b.test/0", *(f"http://hot.test/{i}" for i in range(3))]
 
 
+def test_crawl_obeys_robots_of_each_host(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    urls_ = ["http://a.test/x", "http://a.test/y", "http://a.test/private/1", "http://shut.test/1", "http://failed.test/1", "http://open.test/private/2", "http://unknown.test/private/3"]
+    pages = [(u, " ".join(r.choices(words, k=200)), []) for u in urls_]
+    answers = [("a.test", 200, "User-agent: *\nDisallow: /private/\nCrawl-delay: 9"), ("www.shut.test", 403, None), ("failed.test", 500, None), ("open.test", 404, None), ("a.test", 200, "User-agent: *\nDisallow: /private/\nCrawl-delay: 9")]
+    fetch, asked = small_web(spark, pages)
+    seeds = spark.createDataFrame([(u,) for u in urls_], "url string")
+    kept, refused = frontier.crawl(seeds, fetch, frontier.Settings(delay=2.0), spark.createDataFrame(answers, "host string, status int, body string"))
+    assert sorted(x.url for x in kept.collect()) == ["http://a.test/x", "http://a.test/y", "http://open.test/private/2", "http://unknown.test/private/3"]
+    assert sorted(rows(refused)) == [(u, "robots") for u in ("http://a.test/private/1", "http://failed.test/1", "http://shut.test/1")]
+    assert asked[0]["a.test/x"] == 0.0 and asked[0]["a.test/y"] == 9.0
+
+
 def test_crawl_rounds_begin_at_every_page_of_depth_0(spark, tmp_path):
     r = random.Random(7)
     words = [f"w{i}" for i in range(400)]

@@ -1,8 +1,8 @@
 """Template residue, filler, error pages and notices that scripts are needed.
 
 Two character n-gram models are fitted, of residue (seed sentences of filler, error
-notices and script notices) and of natural prose (a bounded sample of the corpus and
-sentences that only speak of such things). The logarithm of their likelihood ratio,
+notices and script notices) and of natural prose (all texts of the corpus without their
+repeated lines, and sentences that only speak of such things). The logarithm of their likelihood ratio,
 averaged over windows of characters, localises residue; windows in which a model of
 filler leads are told apart from notices. A record is excluded
 
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import md5
+from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import codepoints as cp
 from . import residue_seeds as seeds
 from .repeated_lines import clean_texts
@@ -34,10 +37,17 @@ from .repeated_lines import clean_texts
 U = np.uint64
 ORDERS = (5, 3, 2)
 BITS = {5: 19, 3: 16, 2: 12}
-#: Texts of the corpus from which the model of natural prose is fitted.
-SAMPLE = 2000
-#: Characters that a text of this sample has at least; shorter ones are often residue themselves.
-LEAST_CHARS = 600
+#: Where the table of each order starts in a tally; the last cell of a tally counts characters.
+STARTS = {5: 0, 3: 1 << 19, 2: (1 << 19) + (1 << 16)}
+CELLS = sum(1 << b for b in BITS.values())
+#: Characters to which the counts of a larger corpus are brought, so that smoothing weighs alike at any size.
+SCALE = 2_700_000
+#: Share of residue from which the first fit leaves a text out of the second.
+SPOILT = 0.2
+#: Words of a task that are counted before they are passed on.
+WORDS = 200_000
+#: Defaults of :func:`natural_sample`.
+SAMPLE, LEAST_CHARS = 2000, 600
 #: Widths of the windows, with the mean log-likelihood ratio per character above which a window is residue.
 NOTICE_WINDOWS = {48: 0.55, 24: 0.9}
 FILLER_WINDOWS = {48: 0.6}
@@ -176,20 +186,57 @@ def _counts(texts: list[str]) -> tuple[dict[int, np.ndarray], int]:
     return {n: np.bincount(slots[n], minlength=1 << BITS[n]).astype(np.float64) for n in ORDERS}, len(cps)
 
 
-def _kinds(rare: list[str], seed: int) -> dict[str, list[str]]:
-    r = random.Random(seed)
+def inside(off: np.ndarray, n: int, order: int) -> np.ndarray:
+    """Which of n positions end an n-gram that lies whole within its text."""
+    out = np.ones(n, bool)
+    for k in range(order - 1):
+        out[off[:-1][off[:-1] + k < off[1:]] + k] = False
+    return out
+
+
+def tally(texts: pa.Array) -> np.ndarray:
+    """How often each n-gram stands within the texts, the orders one after the other, and the number of characters.
+    Tallies are whole numbers, so those of parts add up to that of all in any order."""
+    out = np.zeros(CELLS + 1, np.int64)
+    for a, z in cp.slices(texts):
+        cps, off = cp.code_points(texts.slice(a, z - a))
+        slots = gram_slots(symbols(cps))
+        out[CELLS] += len(cps)
+        for n in ORDERS:
+            out[STARTS[n] : STARTS[n] + (1 << BITS[n])] += np.bincount(slots[n][inside(off, len(cps), n)], minlength=1 << BITS[n])
+    return out
+
+
+def long_words(text: str) -> set[str]:
+    return set(re.findall(r"[^\W\d_]{5,}", text.lower()))
+
 
+def rare_limit(texts: int) -> int:
+    """Texts that a rare word stands in at most."""
+    return max(3, texts // 400)
+
+
+def _kinds(rare: Iterable[str], seed: int) -> dict[str, list[str]]:
+    """Seed texts by kind; every slot for a name takes the next rare word, from the first again after the last."""
+    r = random.Random(seed)
+    rare = list(rare)
+    supply = cycle(rare)
     used: list[str] = []
+    drawn: list[str] = []
+
+    def name() -> str:
+        drawn.append(next(supply) if rare else "name")
+        return drawn[-1]
 
     def named(s: str) -> str:
         def one(_: re.Match) -> str:
-            used.append(r.choice(rare) if rare else "name")
+            used.append(name())
             return used[-1]
 
         return re.sub("~", one, s)
 
     def words(vocabulary: list[str], n: int, mixed: float) -> str:
-        picked = [r.choice(rare) if rare and r.random() < mixed else r.choice(vocabulary) for _ in range(n)]
+        picked = [name() if rare and r.random() < mixed else r.choice(vocabulary) for _ in range(n)]
         return " ".join(picked).capitalize() + "."
 
     filler = [words(seeds.LATIN_FILLER, r.randint(6, 16), 0) for _ in range(700)] + [words(seeds.KEYBOARD_FILLER, r.randint(4, 16), 0.12) for _ in range(500)]
@@ -198,35 +245,41 @@ def _kinds(rare: list[str], seed: int) -> dict[str, list[str]]:
     for _ in range(14):
         for s in seeds.ERRORS:
             notice.append(named(r.choice(seeds.OPENERS) + r.choice([" ", ". ", ": ", "! "]) + s + " " + r.choice(seeds.CLOSERS)))
-    return {"filler": filler, "notice": notice, "talk": [named(s) for _ in range(20) for s in seeds.TALK], "names": used}
-
-
-def fit(sample: list[str], seed: int = 5) -> Model:
-    """The models. sample: texts of the corpus; those that a first fit finds full of residue are left out of the second."""
+    return {"filler": filler, "notice": notice, "talk": [named(s) for _ in range(20) for s in seeds.TALK], "names": used, "drawn": drawn}
+
+
+def _model(corpus: np.ndarray, kinds: dict[str, list[str]]) -> Model:
+    """The models, from the tally of natural prose and the seed texts."""
+    scale = min(1.0, SCALE / max(1, int(corpus[CELLS])))
+    talk, size = _counts(kinds["talk"] * 4)
+    size += int(corpus[CELLS]) * scale
+    # The names filled into seeds are known to the other side at the same rate, so that they speak for neither.
+    names, _ = _counts(kinds["names"])
+    rate = size / max(1, sum(map(len, kinds["notice"])))
+    natural = {n: corpus[STARTS[n] : STARTS[n] + (1 << BITS[n])] * scale + talk[n] + rate * names[n] for n in ORDERS}
+    ratios = {}
+    for kind in ("filler", "notice"):
+        own, n_own = _counts(kinds[kind])
+        ratios[kind] = {}
+        for n in ORDERS:
+            slots = float(1 << BITS[n]) / 8
+            ratio = np.log((own[n] + 0.5) / (n_own + 0.5 * slots)) - np.log((natural[n] + 0.5) / (size + 0.5 * slots))
+            # An n-gram of no seed that is rarer than one in twice SCALE characters leaves the decision to its shorter ones.
+            ratios[kind][n] = np.where((own[n] > 0) | (natural[n] >= 0.5), np.clip(ratio, -4, 4), np.nan).astype(np.float32)
+    return Model(ratios)
+
+
+def fit(texts: list[str], seed: int = 5) -> Model:
+    """The models. texts: the whole corpus; those that a first fit finds full of residue are left out of the second."""
     seen: dict[str, int] = {}
-    for t in sample:
-        for w in set(re.findall(r"[^\W\d_]{5,}", t.lower())):
+    for t in texts:
+        for w in long_words(t):
             seen[w] = seen.get(w, 0) + 1
-    rare = sorted(w for w, n in seen.items() if n <= max(3, len(sample) // 400))
+    rare = sorted((w for w, n in seen.items() if n <= rare_limit(len(texts))), key=lambda w: (md5(w.encode()).hexdigest(), w))
     kinds = _kinds(rare, seed)
-    model, texts = None, sample
-    for _ in range(2):
-        natural, size = _counts(texts + kinds["talk"] * 4)
-        # The names filled into seeds are known to the other side at the same rate, so that they speak for neither.
-        names, _ = _counts(kinds["names"])
-        rate = size / max(1, sum(map(len, kinds["notice"])))
-        natural = {n: natural[n] + rate * names[n] for n in ORDERS}
-        ratios = {}
-        for kind in ("filler", "notice"):
-            own, n_own = _counts(kinds[kind])
-            ratios[kind] = {}
-            for n in ORDERS:
-                slots = float(1 << BITS[n]) / 8
-                ratio = np.log((own[n] + 0.5) / (n_own + 0.5 * slots)) - np.log((natural[n] + 0.5) / (size + 0.5 * slots))
-                ratios[kind][n] = np.where(own[n] + natural[n] > 0, np.clip(ratio, -4, 4), np.nan).astype(np.float32)
-        model = Model(ratios)
-        texts = [t for t in sample if t.strip() and max(coverage(model, t)[:2]) < 0.2]
-    return model
+    corpus = tally(pa.array(texts, pa.large_string()))
+    first = _model(corpus, kinds)
+    return _model(corpus - tally(pa.array([t for t in texts if spoilt(first, t)], pa.large_string())), kinds)
 
 
 def windows(score: np.ndarray, levels: dict[int, float]) -> np.ndarray:
@@ -259,6 +312,10 @@ def coverage(model: Model, text: str) -> tuple[float, float, int]:
     return float((notice & visible).sum() / total), float((filler & visible).sum() / total), longest
 
 
+def spoilt(model: Model, text: str) -> bool:
+    return max(coverage(model, text)[:2]) >= SPOILT
+
+
 def is_residue(model: Model, text: str) -> bool:
     if not text or not text.strip():
         return False
@@ -274,23 +331,27 @@ SHORT = max(*NOTICE_WINDOWS, *FILLER_WINDOWS)
 SLACK = 1e-6
 
 
-def _cases(model: Model):
-    """Texts are scored joined, with the n-grams that would reach over a border left out as in one text alone; those that
-    are short, hold a residue window or a placeholder are judged alone."""
+def _near(model: Model, texts: pa.Array) -> np.ndarray:
+    """Which texts may hold a residue window. They are scored joined, with the n-grams that would reach over a border
+    left out as in one text alone; short ones may always."""
     lower = lambda levels: {w: level - SLACK for w, level in levels.items()}
+    cps, off = cp.code_points(texts)
+    slots = gram_slots(symbols(cps))
+    for n in ORDERS:
+        slots[n][~inside(off, len(cps), n)] = 0
+    hot = windows(model.score(slots, "filler"), lower(FILLER_WINDOWS)) | windows(model.score(slots, "notice"), lower(NOTICE_WINDOWS))
+    return (np.diff(np.concatenate([[0], np.cumsum(hot)])[off]) > 0) | (np.diff(off) <= SHORT)
+
+
+def _cases(model: Model):
+    """Texts that are short, may hold a residue window or a placeholder are judged alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             for a, z in cp.slices(texts):
                 part = texts.slice(a, z - a)
-                cps, off = cp.code_points(part)
-                slots = gram_slots(symbols(cps))
-                for n in ORDERS:
-                    for k in range(n - 1):
-                        slots[n][off[:-1][off[:-1] + k < off[1:]] + k] = 0
-                hot = windows(model.score(slots, "filler"), lower(FILLER_WINDOWS)) | windows(model.score(slots, "notice"), lower(NOTICE_WINDOWS))
-                near = (np.diff(np.concatenate([[0], np.cumsum(hot)])[off]) > 0) | (np.diff(off) <= SHORT)
+                near = _near(model, part)
                 hint = pc.match_substring_regex(part, HINT).fill_null(False).to_numpy(zero_copy_only=False)
                 keep = []
                 for i in np.flatnonzero(near | hint):
@@ -302,10 +363,63 @@ def _cases(model: Model):
     return run
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): texts that hold each long word, in parts that add up."""
+    seen: dict[str, int] = {}
+    rows = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+    for batch in batches:
+        for t in batch.column(1):
+            for w in long_words(t.as_py() or ""):
+                seen[w] = seen.get(w, 0) + 1
+            if len(seen) > WORDS:
+                yield rows()
+                seen.clear()
+    yield rows()
+
+
+def _tallied(batches: Iterator[pa.RecordBatch], chosen=None) -> Iterator[pa.RecordBatch]:
+    """(cell, n): the tally of a task's texts, or of the chosen ones, without empty cells."""
+    out = np.zeros(CELLS + 1, np.int64)
+    for batch in batches:
+        texts = batch.column(1)
+        out += tally(texts if chosen is None else chosen(texts))
+    cells = np.flatnonzero(out)
+    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(out[cells])], names=["cell", "n"])
+
+
+def _spoilt(model: Model):
+    def run(texts: pa.Array) -> pa.Array:
+        keep = []
+        for a, z in cp.slices(texts):
+            keep += [a + i for i in np.flatnonzero(_near(model, texts.slice(a, z - a))) if spoilt(model, texts[a + i].as_py() or "")]
+        return texts.take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The tally of all tasks; the driver gets a row a cell at most, 7 MB whatever the corpus."""
+    sums = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS + 1, np.int64)
+    out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def fit_corpus(clean: DataFrame, seed: int = 5) -> Model:
+    """:func:`fit` on all texts of (id, text), with the same result however they are spread."""
+    words = clean.mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rare = words.where(F.col("n") <= rare_limit(clean.count()))
+    # The seeds have so many slots for names; each is filled with another of all rare words.
+    slots = len(_kinds(["name"], seed)["drawn"])
+    kinds = _kinds([r.word for r in rare.orderBy(F.md5("word"), "word").limit(slots).collect()], seed)
+    corpus = _summed(clean.mapInArrow(lambda b: _tallied(b), "cell int, n bigint"))
+    shared = _Shared(clean.sparkSession, _model(corpus, kinds))
+    return _model(corpus - _summed(clean.mapInArrow(lambda b: _tallied(b, _spoilt(shared.get())), "cell int, n bigint")), kinds)
+
+
 def natural_sample(df: DataFrame, id_col: str, text_col: str, size: int = SAMPLE) -> list[str]:
-    """At most ``size`` whole texts of LEAST_CHARS characters or more, chosen by the hash of their id: the same on every run.
-    Rows are thinned by that hash where they are read, to about twice the size over all tasks together; the
-    best ``size`` of these are taken, so what reaches the driver does not grow with the corpus."""
+    """For reading only, no model is fitted on it: at most ``size`` whole texts of LEAST_CHARS characters or more, chosen
+    by the hash of their id, the same on every run. Rows are thinned by that hash to about twice the size before the floor."""
     rows = df.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
     share = min(1.0, 2 * size / max(1, df.count()))
     thin = rows.where(F.col("h") < int(2**64 * share) - 2**63) if share < 1 else rows
@@ -329,9 +443,10 @@ class _Shared:
         return self.model
 
 
-def residue_pages(df: DataFrame, id_col: str, source: Column, text_col: str, sample: int = SAMPLE) -> DataFrame:
+def residue_pages(df: DataFrame, id_col: str, source: Column, text_col: str) -> DataFrame:
     """(id): the records whose text consists of residue, or still holds it."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), source.alias("source"), F.col(text_col).alias("text")).where(r"id is not null and text is not null and text rlike '\\S'")
-    shared = _Shared(df.sparkSession, fit(natural_sample(df, id_col, text_col, sample)))
-    clean = clean_texts(rows, "id", F.col("source"), "text")
+    # Read four times: for words, for n-grams, for the texts left out of the second fit and for the cases.
+    clean = materialise(clean_texts(rows, "id", F.col("source"), "text"), "clean")
+    shared = _Shared(df.sparkSession, fit_corpus(clean))
     return clean.mapInArrow(lambda b: _cases(shared.get())(b), "id bigint").distinct()

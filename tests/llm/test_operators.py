@@ -180,6 +180,29 @@ def test_sample_holds_whole_texts(spark):
     assert residue.natural_sample(frame(spark, list(enumerate(texts))), "id", "text") == texts[:1]
 
 
+def test_residue_models_know_every_text_and_not_long_ones_only(spark):
+    r = random.Random(8)
+    what = "browser|server|page|script|address|cookie|error".split("|")
+    line = lambda: f"The reader of this {r.choice(what)} could enable the {r.choice(what)} and reload the {r.choice(what)} in your {r.choice(what)} to continue."
+    data = [(i, f"h{i}.test", " ".join(line() for _ in range(4))) for i in range(300)]
+    assert max(len(t) for *_, t in data) < residue.LEAST_CHARS
+    data.append((900, "a.test", "504 Gateway Time-out. nginx"))
+    df = spark.createDataFrame(data, "id bigint, host string, text string")
+    assert rows(residue.residue_pages(df, "id", F.col("host"), "text")) == [(900,)]
+
+
+def test_residue_models_of_spread_texts_are_those_of_all(spark, model):
+    _, natural = model
+    r = random.Random(9)
+    texts = [f"{t} {''.join(r.choices('abcdefghij', k=7))}" for t in natural] + ["", "x", "😀" * 50, "Ünïcode 日本語 texts"] + ["Error 404: the page could not be found on this server."] * 9
+    data = list(enumerate(texts))
+    whole = residue.fit(texts)
+    for parts in (1, 7):
+        got = residue.fit_corpus(spark.createDataFrame(data, "id bigint, text string").repartition(parts))
+        for kind, by_order in whole.ratios.items():
+            assert all((got.ratios[kind][n].tobytes() == ratio.tobytes()) for n, ratio in by_order.items())
+
+
 def test_spam_items_parted_by_repeated_lines(spark):
     r = random.Random(4)
     names = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)) for _ in range(200)]

@@ -24,11 +24,14 @@ def hamming_pairs(fps: DataFrame, most: int = MOST_DISTANCE) -> DataFrame:
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
-    """(k, v, fingerprint): the pairs of blocks of each fingerprint."""
+    """(k, v, fingerprint): the pairs of blocks of each fingerprint.
+
+    Spark takes the exploded rows for as many as the fingerprints, 28 times too few, and would broadcast what the driver
+    cannot hold; the hint lets no join of them be a broadcast."""
     one = fps.select("fingerprint").where("fingerprint is not null and fingerprint <> 0").distinct()
     keys = [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
     made = F.array(*(F.struct(F.lit(k).alias("k"), (block(F.col("fingerprint"), i) * 256 + block(F.col("fingerprint"), j)).alias("v")) for k, (i, j) in enumerate(keys)))
-    return one.select("fingerprint", F.explode(made).alias("key")).select("key.k", "key.v", "fingerprint")
+    return one.select("fingerprint", F.explode(made).alias("key")).select("key.k", "key.v", "fingerprint").hint("merge")
 
 
 def near_any(fps: DataFrame, kept: DataFrame, most: int = MOST_DISTANCE) -> DataFrame:

@@ -178,6 +178,32 @@ def test_hamming_pairs_and_greedy_keep(spark):
     assert dict(rows(dedupe.keep_first(df, pairs))) == out
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Tables estimated at 100 kB are broadcast, and those that turn out larger than 1 MB fail, as they do on a driver without room."""
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "100k", "spark.sql.maxBroadcastTableSize": "1m"}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def fingerprint_rows(spark, n):
+    """n random fingerprints, each followed by one that is 1 bit away."""
+    r = random.Random(8)
+    signed = [f - 2**63 for _ in range(n) for x in [r.getrandbits(64) | 2] for f in (x, x ^ 1)]
+    return spark.createDataFrame(list(enumerate(signed)), "crawl_doc bigint, fingerprint bigint")
+
+
+def test_hamming_pairs_broadcast_no_exploded_keys(spark, small_broadcasts):
+    df = fingerprint_rows(spark, 1500)
+    assert dedupe.hamming_pairs(df).where("distance = 1").count() == 1500
+    old = df.where("crawl_doc % 2 = 0")
+    assert dedupe.near_any(df, old).count() == 3000
+
+
 def test_metrics(spark):
     judged = spark.createDataFrame([("q", "u1", 3), ("q", "u2", 1), ("q", "u3", 0), ("none", "u9", 0)], "query string, url string, grade int")
     ranked = spark.createDataFrame([("q", 1, "u2", None), ("q", 2, "x", "u1"), ("q", 3, "zz", None)], "query string, rank int, url string, final_url string")

@@ -46,21 +46,25 @@ def keep_first(docs: DataFrame, pairs: DataFrame, order: str = "crawl_doc") -> D
     """(crawl_doc, kept): a page is dropped if it is near a page kept before it, in arrival order.
 
     The order-dependent choice is settled in rounds: a fingerprint is kept once all its earlier neighbours are
-    dropped, and dropped once one of them is kept. Each round is a join over the undecided links only."""
+    dropped, and dropped once one of them is kept. Each round is a join over the undecided links only.
+
+    The sets joined here may hold most fingerprints, while their files, from which Spark plans, can be a tenth of what a
+    broadcast of them takes on the driver; so no join is a broadcast."""
+    merged = lambda df: df.hint("merge")
     first = docs.where("fingerprint is not null and fingerprint <> 0").groupBy("fingerprint").agg(F.min(order).alias("at"))
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     at = lambda c: first.select(F.col("fingerprint").alias(c), F.col("at").alias(f"at_{c}"))
-    earlier = both.join(at("a"), "a").join(at("b"), "b").where("at_b < at_a").select("a", "b")
+    earlier = both.join(merged(at("a")), "a").join(merged(at("b")), "b").where("at_b < at_a").select("a", "b")
     earlier = materialise(earlier, "earlier")
     dropped = None
     waiting = earlier
     while True:
-        nodes = waiting.select("b").distinct().join(waiting.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
-        gone = materialise(waiting.join(nodes, "b", "left_semi").select("a").distinct(), "gone")
+        nodes = waiting.select("b").distinct().join(merged(waiting.select(F.col("a").alias("b")).distinct()), "b", "left_anti")
+        gone = materialise(waiting.join(merged(nodes), "b", "left_semi").select("a").distinct(), "gone")
         if gone.isEmpty():
             break
         dropped = gone if dropped is None else dropped.union(gone)
-        waiting = materialise(waiting.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti"), "waiting")
+        waiting = materialise(waiting.join(merged(gone), "a", "left_anti").join(merged(gone.select(F.col("a").alias("b"))), "b", "left_anti"), "waiting")
     near = dropped.distinct() if dropped is not None else earlier.select("a").limit(0)
-    own = docs.select(F.col(order), "fingerprint").join(first, "fingerprint", "left").join(near.select(F.col("a").alias("fingerprint"), F.lit(True).alias("near")), "fingerprint", "left")
+    own = docs.select(F.col(order), "fingerprint").join(merged(first), "fingerprint", "left").join(merged(near.select(F.col("a").alias("fingerprint"), F.lit(True).alias("near"))), "fingerprint", "left")
     return own.select(order, (F.col("at").isNull() | (F.col("near").isNull() & (F.col("at") == F.col(order)))).alias("kept"))

@@ -204,6 +204,14 @@ def test_hamming_pairs_broadcast_no_exploded_keys(spark, small_broadcasts):
     assert dedupe.near_any(df, old).count() == 3000
 
 
+def test_keep_first_broadcasts_no_fingerprints(spark, small_broadcasts):
+    n = 6000
+    docs = spark.range(2 * n).select(F.col("id").alias("crawl_doc"), (F.col("id") + 1).alias("fingerprint"))
+    pairs = spark.range(n).select((2 * F.col("id") + 1).alias("a"), (2 * F.col("id") + 2).alias("b"))
+    kept = dedupe.keep_first(docs, pairs).where("kept")
+    assert sorted(r.crawl_doc for r in kept.collect()) == list(range(0, 2 * n, 2))
+
+
 def test_metrics(spark):
     judged = spark.createDataFrame([("q", "u1", 3), ("q", "u2", 1), ("q", "u3", 0), ("none", "u9", 0)], "query string, url string, grade int")
     ranked = spark.createDataFrame([("q", 1, "u2", None), ("q", 2, "x", "u1"), ("q", 3, "zz", None)], "query string, rank int, url string, final_url string")
